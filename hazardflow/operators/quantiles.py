@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,78 +27,105 @@ def exact_quantiles(
     """Linearly interpolated quantiles as (key.., column, fraction, n, value).
 
     A mergeable sketch brackets each quantile; a second scan counts the values
-    below the bracket and sorts only the few inside it. The result is exact:
-    a rank outside its bracket raises an error rather than giving a near value.
+    outside the brackets and sorts only the few inside them. The result is
+    exact: a rank outside its bracket raises an error rather than giving a near
+    value.
     """
-    key = list(key)
+    key, columns, fractions = list(key), list(columns), sorted(fractions)
     numbers = frame.select(*key, *[no_nan(F.col(c).cast("double")).alias(c) for c in columns])
-    slack = 4.0 / accuracy
-    lower = [max(0.0, f - slack) for f in fractions]
-    upper = [min(1.0, f + slack) for f in fractions]
+    bounds = written(_brackets(numbers, columns, fractions, key, accuracy, small_group), "brackets")
 
-    def measures(i: int, c: str):
-        probes = F.array(*[F.lit(x) for x in lower + upper])
-        return F.struct(
-            F.count(c).alias("n"),
-            F.min(c).alias("least"),
-            F.max(c).alias("most"),
-            F.percentile_approx(c, probes, accuracy).alias("probe"),
-        ).alias(f"m{i}")
-
-    wide = numbers.groupBy(*key).agg(*[measures(i, c) for i, c in enumerate(columns)])
-    entries = []
-    for i, c in enumerate(columns):
-        m = F.col(f"m{i}")
-        small = m["n"] <= small_group
-        for j, f in enumerate(fractions):
-            entries.append(
-                F.struct(
-                    F.lit(c).alias("column"),
-                    F.lit(float(f)).alias("fraction"),
-                    m["n"].alias("n"),
-                    F.when(small, m["least"]).otherwise(m["probe"][j]).alias("lo"),
-                    F.when(small, m["most"]).otherwise(m["probe"][j + len(fractions)]).alias("hi"),
-                    ((m["n"] - 1) * F.lit(float(f))).alias("rank"),
-                )
-            )
-    bounds = written(wide.select(*key, F.array(*entries).alias("_brackets")), "brackets")
-
-    by_column = F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c))])
-    value = F.col("_cells")[F.col("column")]
-    placed = (
+    group = key + ["item", "n"]
+    bracket = F.col("_brackets")[F.col("item")]
+    counted = (
         attach_written(numbers, bounds, key)
-        .select(*key, by_column.alias("_cells"), F.inline("_brackets"))
-        .where(value <= F.col("hi"))
-        .select(*key, "column", "fraction", "n", "rank", F.when(value >= F.col("lo"), value).alias("value"))
+        .select(*key, "_brackets", F.posexplode(F.array(*columns)).alias("item", "value"))
+        .where("value IS NOT NULL")
+        .select(*key, "item", bracket["n"].alias("n"), *_zone(bracket, F.col("value"), len(fractions)))
+        .groupBy(*group, "zone", "value")
+        .agg(F.count("*").alias("copies"))
     )
-    group = key + ["column", "fraction", "n", "rank"]
-    counted = placed.groupBy(*group, "value").agg(F.count("*").alias("copies"))
+    ordered = W.partitionBy(*group).orderBy("zone", "value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    running = counted.withColumn("seen", F.sum("copies").over(ordered))
 
-    ordered = W.partitionBy(*group).orderBy(F.col("value").asc_nulls_first())
-    running = counted.withColumn(
-        "seen", F.sum("copies").over(ordered.rowsBetween(W.unboundedPreceding, W.currentRow))
-    )
-    low, high = F.floor("rank"), F.ceil("rank")
+    def at(rank: Column) -> Column:
+        return F.min_by("value", F.when(F.col("seen") > rank, F.col("seen")))
+
+    ranks = [(F.col("n") - 1) * F.lit(float(f)) for f in fractions]
     found = running.groupBy(*group).agg(
-        F.max(F.when(F.col("value").isNull(), F.col("seen") > low).otherwise(False)).alias("missed"),
-        F.min(F.when(F.col("seen") > low, F.col("value"))).alias("a"),
-        F.min(F.when(F.col("seen") > high, F.col("value"))).alias("b"),
+        *[at(F.floor(r)).alias(f"a{j}") for j, r in enumerate(ranks)],
+        *[at(F.ceil(r)).alias(f"b{j}") for j, r in enumerate(ranks)],
     )
-    result = (
-        F.when(
-            F.col("missed") | F.col("a").isNull() | F.col("b").isNull(),
-            F.raise_error(F.lit("quantile outside its bracket: raise the accuracy")),
+    names = F.array(*[F.lit(c) for c in columns])
+    values = [
+        F.struct(F.lit(float(f)).alias("fraction"), _between(F.col(f"a{j}"), F.col(f"b{j}"), ranks[j]).alias("value"))
+        for j, f in enumerate(fractions)
+    ]
+    order = [*key, "column", "fraction", "n", "value"]
+    results = found.select(*key, names[F.col("item")].alias("column"), "n", F.inline(F.array(*values))).select(*order)
+    without_values = (
+        bounds.select(*key, F.posexplode("_brackets").alias("item", "bracket"))
+        .where("bracket.n = 0")
+        .select(
+            *key,
+            names[F.col("item")].alias("column"),
+            F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction"),
+            F.lit(0).cast("bigint").alias("n"),
+            F.lit(None).cast("double").alias("value"),
         )
-        .when(F.col("a") == F.col("b"), F.col("a"))
-        .otherwise(F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - low))
     )
-    without_values = (
-        bounds.select(*key, F.inline("_brackets"))
-        .where("n = 0")
-        .select(*key, "column", "fraction", "n", F.lit(None).cast("double").alias("value"))
+    return results.unionByName(without_values)
+
+
+def _brackets(
+    numbers: DataFrame, columns: list[str], fractions: list[float], key: list[str], accuracy: int, small_group: int
+) -> DataFrame:
+    """Per key an array over the columns: count, lower and upper ends of each quantile's bracket."""
+    slack = 4.0 / accuracy
+    count = len(fractions)
+    lower = [max(0.0, f - slack) for f in fractions]
+    upper = [min(1.0, f + slack) for f in fractions]
+    probes = F.array(*[F.lit(x) for x in lower + upper])
+    wide = numbers.groupBy(*key).agg(
+        *[
+            F.struct(
+                F.count(c).alias("n"),
+                F.min(c).alias("least"),
+                F.max(c).alias("most"),
+                F.percentile_approx(c, probes, accuracy).alias("probe"),
+            ).alias(f"_m{i}")
+            for i, c in enumerate(columns)
+        ]
+    )
+
+    def entry(i: int) -> Column:
+        m = F.col(f"_m{i}")
+        small = m["n"] <= small_group
+        return F.struct(
+            m["n"].alias("n"),
+            F.when(small, F.array_repeat(m["least"], count)).otherwise(F.slice(m["probe"], 1, count)).alias("lo"),
+            F.when(small, F.array_repeat(m["most"], count)).otherwise(F.slice(m["probe"], count + 1, count)).alias("hi"),
+        )
+
+    return wide.select(*key, F.array(*[entry(i) for i in range(len(columns))]).alias("_brackets"))
+
+
+def _zone(bracket: Column, value: Column, count: int) -> tuple[Column, Column]:
+    """How many brackets start at or below the value; the value itself if one holds it, else NaN."""
+    zone = sum(((bracket["lo"][j] <= value).cast("int") for j in range(1, count)), (bracket["lo"][0] <= value).cast("int"))
+    held = (zone > 0) & (value <= F.get(bracket["hi"], zone - 1))
+    return zone.alias("zone"), F.when(held, value).otherwise(float("nan")).alias("value")
+
+
+def _between(a: Column, b: Column, rank: Column) -> Column:
+    """Interpolate between the values at the ranks below and above."""
+    outside = F.isnan(a) | F.isnan(b) | a.isNull() | b.isNull()
+    text = F.lit("quantile outside its bracket: raise the accuracy")
+    return (
+        F.when(outside, F.raise_error(text).cast("double"))
+        .when(a == b, a)
+        .otherwise(a + (b - a) * (rank - F.floor(rank)))
     )
-    names = key + ["column", "fraction"]
-    return found.select(*names, "n", result.cast("double").alias("value")).unionByName(without_values)
 
 
 def medians(frame: DataFrame, columns: Sequence[str], key: Sequence[str] = (), **options) -> DataFrame:

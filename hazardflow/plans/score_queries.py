@@ -34,7 +34,7 @@ VALUE_BOUNDS = {"value": (0.1, 300.0), "k": (0.0, 95.0)}
         SELECT CAST(ts AS DATE) AS day, count(*) AS total_predictions,
                count(*) FILTER (WHERE prediction = 1) AS total_high_risk,
                count(*) FILTER (WHERE prediction = 0) AS total_low_risk,
-               round(avg(probability), 4) AS average_probability, round(avg(confidence), 4) AS average_confidence,
+               round(avg(round(probability, 4)), 4) AS average_probability, round(avg(round(confidence, 4)), 4) AS average_confidence,
                count(*) FILTER (WHERE risk_level = 'Low') AS risk_low,
                count(*) FILTER (WHERE risk_level = 'Medium') AS risk_medium,
                count(*) FILTER (WHERE risk_level = 'High') AS risk_high,
@@ -50,15 +50,14 @@ def risk_by_day(spark, sf):
 @query(
     "risk_levels",
     f"""WITH {SCORED_SQL} SELECT event_id, probability, risk_level,
-        round(least(abs(probability - 0.5) * 2 * 0.95, 1.0), 6) AS confidence,
-        upper(risk_level) || ' RISK' AS text, probability >= 0.7 AS over FROM scored""",
+        confidence, upper(risk_level) || ' RISK' AS text, probability >= 0.7 AS over FROM scored""",
 )
 def risk_levels(spark, sf):
     return scored(spark, sf).select(
         "event_id",
         "probability",
         "risk_level",
-        F.round(scalar.confidence(F.col("probability")), 6).alias("confidence"),
+        "confidence",
         scalar.risk_text(F.col("risk_level")).alias("text"),
         scalar.over_threshold(F.col("probability")).alias("over"),
     )
@@ -228,7 +227,7 @@ def latest_per_key(spark, sf):
     f"""WITH {SCORED_SQL}
         SELECT event_type, count(*) AS total_predictions, count(*) FILTER (WHERE prediction = 1) AS total_high_risk,
                count(*) FILTER (WHERE prediction = 0) AS total_low_risk,
-               round(avg(probability), 4) AS average_probability, round(avg(confidence), 4) AS average_confidence,
+               round(avg(round(probability, 4)), 4) AS average_probability, round(avg(round(confidence, 4)), 4) AS average_confidence,
                count(*) FILTER (WHERE risk_level = 'Low') AS risk_low,
                count(*) FILTER (WHERE risk_level = 'Medium') AS risk_medium,
                count(*) FILTER (WHERE risk_level = 'High') AS risk_high,
@@ -615,7 +614,7 @@ def attach_statistics(spark, sf):
 
 @query(
     "sensor_table",
-    f"WITH {SENSOR_CTE} SELECT sensor_id, {', '.join(FEATURES)}, {TARGET} FROM sensor",
+    f"WITH {SENSOR_CTE} SELECT sensor_id, {', '.join(f'round({c}, 3) AS {c}' for c in FEATURES)}, {TARGET} FROM sensor",
 )
 def sensor_table(spark, sf):
-    return sensor(spark, sf).select("sensor_id", *FEATURES, TARGET)
+    return sensor(spark, sf).select("sensor_id", *[F.round(c, 3).alias(c) for c in FEATURES], TARGET)

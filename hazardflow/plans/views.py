@@ -31,7 +31,11 @@ def day_file(ts: Column) -> Column:
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select(
+    return shaped_events(table(spark, sf, "events"))
+
+
+def shaped_events(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "event_id",
         "ts",
         "user_id",
@@ -105,14 +109,14 @@ def sensor(spark: SparkSession, sf: str, source=events) -> DataFrame:
             F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("day", "yyyyMMdd")).alias("sensor_id"),
             "user_id",
             "day",
-            F.round("days", 6).alias("Duration_days"),
-            F.round(F.log10(1 + F.col("energy")), 6).alias("Energy_Unit_log"),
-            F.round(density, 6).alias("Energy_density_Joule_sqr"),
-            F.round(F.col("volume").cast("double"), 6).alias("Volume_m3_sqr"),
-            F.round(F.log10(1 + F.col("n") / F.col("days")), 6).alias("Event_freq_unit_per_day_log"),
-            F.round(F.col("energy") / F.col("days"), 6).alias("Energy_Joule_per_day_sqr"),
-            F.round(F.col("volume") / F.col("days"), 6).alias("Volume_m3_per_day_sqr"),
-            F.round(F.log10(1 + density), 6).alias("Energy_per_Volume_log"),
+            F.round("days", 8).alias("Duration_days"),
+            F.round(F.log10(1 + F.col("energy")), 8).alias("Energy_Unit_log"),
+            F.round(density, 8).alias("Energy_density_Joule_sqr"),
+            F.round(F.col("volume").cast("double"), 8).alias("Volume_m3_sqr"),
+            F.round(F.log10(1 + F.col("n") / F.col("days")), 8).alias("Event_freq_unit_per_day_log"),
+            F.round(F.col("energy") / F.col("days"), 8).alias("Energy_Joule_per_day_sqr"),
+            F.round(F.col("volume") / F.col("days"), 8).alias("Volume_m3_per_day_sqr"),
+            F.round(F.log10(1 + density), 8).alias("Energy_per_Volume_log"),
             cut(density, DENSITY_EDGES, [0, 1, 2, 3]).alias(TARGET),
         )
     )
@@ -122,14 +126,14 @@ def sensor_sql(source: str) -> str:
     return f""",
 sensor AS (
   SELECT user_id || '-' || strftime(day, '%Y%m%d') AS sensor_id, user_id, day,
-         round(days, 6) AS Duration_days,
-         round(log10(1 + energy), 6) AS Energy_Unit_log,
-         round(energy / (volume + 1), 6) AS Energy_density_Joule_sqr,
-         round(CAST(volume AS DOUBLE), 6) AS Volume_m3_sqr,
-         round(log10(1 + n / days), 6) AS Event_freq_unit_per_day_log,
-         round(energy / days, 6) AS Energy_Joule_per_day_sqr,
-         round(volume / days, 6) AS Volume_m3_per_day_sqr,
-         round(log10(1 + energy / (volume + 1)), 6) AS Energy_per_Volume_log,
+         round(days, 8) AS Duration_days,
+         round(log10(1 + energy), 8) AS Energy_Unit_log,
+         round(energy / (volume + 1), 8) AS Energy_density_Joule_sqr,
+         round(CAST(volume AS DOUBLE), 8) AS Volume_m3_sqr,
+         round(log10(1 + n / days), 8) AS Event_freq_unit_per_day_log,
+         round(energy / days, 8) AS Energy_Joule_per_day_sqr,
+         round(volume / days, 8) AS Volume_m3_per_day_sqr,
+         round(log10(1 + energy / (volume + 1)), 8) AS Energy_per_Volume_log,
          CASE WHEN energy / (volume + 1) <= 0.3 THEN 0 WHEN energy / (volume + 1) <= 0.6 THEN 1
               WHEN energy / (volume + 1) <= 1.0 THEN 2 WHEN energy IS NOT NULL THEN 3 END AS Intensity_Level_encoded
   FROM (SELECT user_id, CAST(ts AS DATE) AS day,
@@ -140,15 +144,17 @@ sensor AS (
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    p = F.round(F.col("value") / (F.col("value") + 20), 4)
+    return with_scores(events(spark, sf))
+
+
+def with_scores(rows: DataFrame) -> DataFrame:
     return (
-        events(spark, sf)
-        .withColumn("probability", p)
+        rows.withColumn("probability", F.col("value") / (F.col("value") + 20))
         .withColumns(
             {
                 "prediction": (F.col("probability") >= 0.5).cast("int"),
                 "risk_level": risk_level(F.col("probability")),
-                "confidence": F.round(confidence(F.col("probability")), 4),
+                "confidence": confidence(F.col("probability")),
             }
         )
     )
@@ -164,8 +170,8 @@ SCORED_SQL = (
     + f""",
 scored AS (
   SELECT *, CAST(probability >= 0.5 AS INT) AS prediction, {RISK_CASE} AS risk_level,
-         round(least(abs(probability - 0.5) * 2 * 0.95, 1.0), 4) AS confidence
-  FROM (SELECT *, round(value / (value + 20), 4) AS probability FROM ev))"""
+         least(abs(probability - 0.5) * 2 * 0.95, 1.0) AS confidence
+  FROM (SELECT *, value / (value + 20) AS probability FROM ev))"""
 )
 
 

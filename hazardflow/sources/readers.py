@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import csv
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,20 +32,21 @@ def list_inputs(spark: SparkSession, folder: str, suffix: str = ".csv") -> DataF
     )
 
 
-def _first_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            yield batch.slice(0, 1)
-            return
-
-
 def _header_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """First line of every file: one task per file that stops after its first batch."""
+
+    # Local, so that workers get it by value and need no copy of this package.
+    def first_line(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
+
     session = spark.newSession()
     session.conf.set("spark.sql.files.maxPartitionBytes", str(_ONE_FILE_PER_TASK))
     session.conf.set("spark.sql.files.openCostInBytes", str(_ONE_FILE_PER_TASK))
     lines = session.read.text(list(paths)).select(F.col("_metadata.file_path").alias(FILE_KEY), "value")
-    return lines.mapInArrow(_first_line, f"{FILE_KEY} string, value string")
+    return lines.mapInArrow(first_line, f"{FILE_KEY} string, value string")
 
 
 def header_names(line: str) -> list[str]:

@@ -16,7 +16,7 @@ from tests.oracle import SF_DIR, connect, difference  # noqa: E402
 
 def main(names):
     spark = build_session(
-        "check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"}
+        "check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"}
     )
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls, bad = connect(), oracle_sql(), 0
