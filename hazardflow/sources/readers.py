@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections import defaultdict
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,17 +20,23 @@ _ONE_FILE_PER_TASK = 1 << 40
 
 
 def list_inputs(spark: SparkSession, folder: str, suffix: str = ".csv") -> DataFrame:
-    """Files whose name ends with the suffix in any case; contents are not read."""
+    """Files whose name ends with the suffix in any case; contents are not read.
+
+    A scan passes over files without a byte, so the names come from the file
+    index of the scan and the sizes from the scan.
+    """
+    found = spark.read.format("binaryFile").load(folder)
+    names = [re.sub(r"^(\w+):///", r"\1:/", name) for name in found.inputFiles()]
+    listed = spark.createDataFrame([(n, unquote(n)) for n in names], f"{FILE_KEY} string, path string")
+    sizes = found.select(
+        F.col("_metadata.file_path").alias(FILE_KEY),
+        F.col("length").alias("bytes"),
+        F.col("modificationTime").alias("modified"),
+    )
     return (
-        spark.read.format("binaryFile")
-        .load(folder)
-        .where(F.lower("path").endswith(suffix.lower()))
-        .select(
-            F.col("_metadata.file_path").alias(FILE_KEY),
-            "path",
-            F.col("length").alias("bytes"),
-            F.col("modificationTime").alias("modified"),
-        )
+        listed.where(F.lower("path").endswith(suffix.lower()))
+        .join(sizes, FILE_KEY, "left")
+        .withColumn("bytes", F.coalesce("bytes", F.lit(0)))
     )
 
 
