@@ -95,6 +95,7 @@ def clean_table(
 
     The deduplicated rows are written once with their copy counts: all later
     passes (medians, mode, result, statistics) are narrow scans of that table.
+    The input may be plain rows or the output of `row_copies`.
     """
     columns = data_columns(frame, [key])
     kinds = {f.name: f.dataType for f in frame.schema.fields}
@@ -110,7 +111,7 @@ def clean_table(
             tests = {c: test & F.array_contains(own, c) for c, test in tests.items()}
         return sum((F.when(test, 1).otherwise(0) for test in tests.values()), F.lit(0))
 
-    distinct = row_copies(frame, [key])
+    distinct = frame if COPIES in frame.columns else row_copies(frame, [key])
     if files is not None:
         distinct = attach(distinct, files.select(key, F.col("columns").alias(own)), [key])
     distinct = distinct.withColumn("_missing", empty_cells(kinds))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hazardflow.session import written
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 SALTS = 64
 
 

@@ -5,19 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def class_weights(frame: DataFrame, label: str) -> DataFrame:
     """Balanced weight per class: rows / (classes x rows of the class)."""
     counts = frame.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("rows"))
-    every = W.partitionBy()
-    return counts.select(
-        label,
-        "rows",
-        (F.sum("rows").over(every) / (F.count("*").over(every) * F.col("rows"))).alias("weight"),
-    )
+    total = counts.agg(F.struct(F.sum("rows").alias("rows"), F.count("*").alias("classes"))).scalar()
+    weight = total.getField("rows") / (total.getField("classes") * F.col("rows"))
+    return counts.select(label, "rows", weight.alias("weight"))
 
 
 def accuracy(frame: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

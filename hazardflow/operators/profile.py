@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,11 +156,10 @@ def describe(frame: DataFrame, columns: Sequence[str], key: Sequence[str] = ())
 
 
 def class_distribution(frame: DataFrame, label: str) -> DataFrame:
-    """Count and percentage per class; the window runs over the counted classes only."""
+    """Count and percentage per class, in class order."""
     counts = frame.groupBy(label).agg(F.count("*").alias("rows"))
-    return counts.select(
-        label, "rows", F.round(F.col("rows") * 100 / F.sum("rows").over(W.partitionBy()), 2).alias("percent")
-    ).orderBy(label)
+    total = counts.agg(F.sum("rows")).scalar()
+    return counts.select(label, "rows", F.round(F.col("rows") * 100 / total, 2).alias("percent")).orderBy(label)
 
 
 def global_range(frame: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,6 +15,9 @@ from hazardflow.session import written
 
 SMALL_GROUP = 100_000
 ACCURACY = 50_000
+ONE_TASK = 5_000_000
+BINS = 4096
+RESERVED = {"column", "fraction", "item", "n", "value", "zone", "copies", "seen", "bin", "start", "end"}
 
 
 def exact_quantiles(
@@ -23,15 +27,20 @@ def exact_quantiles(
     key: Sequence[str] = (),
     accuracy: int = ACCURACY,
     small_group: int = SMALL_GROUP,
+    one_task: int = ONE_TASK,
 ) -> DataFrame:
     """Linearly interpolated quantiles as (key.., column, fraction, n, value).
 
     A mergeable sketch brackets each quantile; a second scan counts the values
     outside the brackets and sorts only the few inside them. The result is
     exact: a rank outside its bracket raises an error rather than giving a near
-    value.
+    value. Where a bracket may hold more than `one_task` values, it is cut into
+    bins first and only the bins with a wanted rank are sorted.
     """
     key, columns, fractions = list(key), list(columns), sorted(fractions)
+    if taken := RESERVED & set(key):
+        raise ValueError(f"key columns may not be named {sorted(taken)}")
+    slack = 4.0 / accuracy
     numbers = frame.select(*key, *[no_nan(F.col(c).cast("double")).alias(c) for c in columns])
     bounds = written(_brackets(numbers, columns, fractions, key, accuracy, small_group), "brackets")
 
@@ -45,8 +54,13 @@ def exact_quantiles(
         .groupBy(*group, "zone", "value")
         .agg(F.count("*").alias("copies"))
     )
-    ordered = W.partitionBy(*group).orderBy("zone", "value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    running = counted.withColumn("seen", F.sum("copies").over(ordered))
+    largest = bounds.select(F.explode("_brackets.n").alias("n")).agg(F.max("n")).first()[0] or 0
+    held = max(small_group, 2 * slack * largest)
+    if held <= one_task:
+        ordered = W.partitionBy(*group).orderBy("zone", "value").rowsBetween(W.unboundedPreceding, W.currentRow)
+        running = counted.withColumn("seen", F.sum("copies").over(ordered))
+    else:
+        running = _running_near_ranks(written(counted, "counted"), group, fractions)
 
     def at(rank: Column) -> Column:
         return F.min_by("value", F.when(F.col("seen") > rank, F.col("seen")))
@@ -117,6 +131,30 @@ def _zone(bracket: Column, value: Column, count: int) -> tuple[Column, Column]:
     return zone.alias("zone"), F.when(held, value).otherwise(float("nan")).alias("value")
 
 
+def _running_near_ranks(counted: DataFrame, group: list[str], fractions: list[float]) -> DataFrame:
+    """Running counts of the values in those bins of each bracket that hold a wanted rank."""
+    ends = counted.groupBy(*group, "zone").agg(
+        F.min("value").alias("first"), F.max(no_nan(F.col("value"))).alias("final")
+    )
+    width = F.col("final") - F.col("first")
+    part = F.when(width > 0, (F.col("value") - F.col("first")) / width).otherwise(0.0)
+    place = F.when(F.isnan("value"), BINS).otherwise(F.least(F.floor(part * BINS), F.lit(BINS - 1)))
+    binned = attach_written(counted, written(ends, "ends"), group + ["zone"]).withColumn("bin", place.cast("int"))
+
+    sums = binned.groupBy(*group, "zone", "bin").agg(F.sum("copies").alias("inside"))
+    ordered = W.partitionBy(*group).orderBy("zone", "bin").rowsBetween(W.unboundedPreceding, W.currentRow)
+    spans = sums.withColumn("end", F.sum("inside").over(ordered)).withColumn("start", F.col("end") - F.col("inside"))
+    wanted = [
+        (F.col("start") <= rank) & (rank < F.col("end"))
+        for f in fractions
+        for rank in (F.floor((F.col("n") - 1) * F.lit(float(f))), F.ceil((F.col("n") - 1) * F.lit(float(f))))
+    ]
+    near = spans.where(reduce(lambda a, b: a | b, wanted)).drop("inside", "end")
+    same_bin = W.partitionBy(*group, "zone", "bin").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = attach_written(binned, written(near, "near"), group + ["zone", "bin"]).where("start IS NOT NULL")
+    return found.withColumn("seen", F.col("start") + F.sum("copies").over(same_bin))
+
+
 def _between(a: Column, b: Column, rank: Column) -> Column:
     """Interpolate between the values at the ranks below and above."""
     outside = F.isnan(a) | F.isnan(b) | a.isNull() | b.isNull()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from fractions import Fraction
 from itertools import accumulate
 
@@ -14,15 +14,6 @@ from pyspark.sql import functions as F
 from hazardflow.session import written
 
 MAX_CLASSES = 10_000
-BUCKETS = 65_536
-
-
-def class_counts(frame: DataFrame, label: str) -> list[tuple[object, int]]:
-    """Rows per class in class order, read to the driver under a checked bound."""
-    rows = frame.groupBy(label).agg(F.count("*").alias("n")).orderBy(label).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} values: not a class column")
-    return [(r[0], r[1]) for r in rows]
 
 
 def test_sizes(counts: Sequence[int], test: float) -> list[int]:
@@ -52,52 +43,68 @@ def _targets(parts: Sequence[int]) -> list[int]:
     return list(accumulate(parts[:-1]))
 
 
+def _hashed(frame: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+    return frame.select(
+        F.struct(F.col(label).alias("value")).alias("_class"),
+        F.xxhash64(F.lit(seed), F.col(key)).alias("hash"),
+        F.col(key).alias("key"),
+    ).withColumn("bucket", F.shiftright("hash", 48))
+
+
+def _class_counts(histogram: DataFrame, label: str) -> list[tuple[object, int]]:
+    """Rows per class in class order, read to the driver under a checked bound."""
+    totals = histogram.groupBy("_class").agg(F.sum("n").alias("n")).orderBy("_class")
+    rows = totals.limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} values: not a class column")
+    return [(r["_class"]["value"], r["n"]) for r in rows]
+
+
 def _by_hash_rank(
     frame: DataFrame,
     label: str,
     key: str,
     seed: int,
-    sizes: Sequence[tuple[object, Sequence[int]]],
+    allot: Callable[[list[int]], list[list[int]]],
     name: str,
 ) -> DataFrame:
     """Number the parts of each class, taken in the order of a seeded hash.
 
-    The hash histogram of each class tells which bucket holds each cut. Only the
-    rows of those buckets are sorted; all rows are then placed by comparing
-    their hash with the cuts of their class, without a shuffle.
+    A histogram of the hash per class gives the class sizes and the bucket that
+    holds each cut. Only the rows of those buckets are sorted; all rows are then
+    placed by comparing their hash with the cuts of their class, without a
+    shuffle. The frame is read three times: give a table, not a long plan.
     """
     spark = frame.sparkSession
+    kind = frame.schema[label].dataType.simpleString()
+    hashed = _hashed(frame, label, key, seed)
+    histogram = written(hashed.groupBy("_class", "bucket").agg(F.count("*").alias("n")), "histogram")
+    counts = _class_counts(histogram, label)
+    sizes = list(zip([value for value, _ in counts], allot([n for _, n in counts])))
     cuts = [(value, part, target) for value, parts in sizes for part, target in enumerate(_targets(parts))]
-    kind = frame.schema[label].dataType
-    schema = f"value {kind.simpleString()}, part int, target bigint"
-    wanted = spark.createDataFrame(cuts, schema).select(F.struct("value").alias("_class"), "part", "target")
-
-    hashed = frame.select(
-        F.struct(F.col(label).alias("value")).alias("_class"),
-        F.xxhash64(F.lit(seed), F.col(key)).alias("hash"),
-        F.col(key).alias("key"),
-    ).withColumn("bucket", F.shiftright("hash", 48))
-    histogram = hashed.groupBy("_class", "bucket").agg(F.count("*").alias("n"))
+    wanted = spark.createDataFrame(cuts, f"value {kind}, part int, target bigint").select(
+        F.struct("value").alias("_class"), "part", "target"
+    )
     running = W.partitionBy("_class").orderBy("bucket")
     reached = F.sum("n").over(running.rowsBetween(W.unboundedPreceding, W.currentRow))
-    located = (
+    located = written(
         histogram.withColumn("end", reached)
         .withColumn("start", F.col("end") - F.col("n"))
         .join(F.broadcast(wanted), "_class")
         .where((F.col("target") > F.col("start")) & (F.col("target") <= F.col("end")))
-        .select("_class", "part", "bucket", (F.col("target") - F.col("start")).alias("rank"))
+        .select("_class", "part", "bucket", (F.col("target") - F.col("start")).alias("rank")),
+        "located",
     )
-    located = written(located, "cuts")
     in_bucket = W.partitionBy("_class", "bucket").orderBy("hash", "key")
     last = (
-        hashed.join(F.broadcast(located.select("_class", "bucket").distinct()), ["_class", "bucket"], "left_semi")
+        hashed.join(F.broadcast(located.select("_class", "bucket")), ["_class", "bucket"], "left_semi")
         .withColumn("rank", F.row_number().over(in_bucket).cast("bigint"))
         .join(F.broadcast(located), ["_class", "bucket", "rank"])
         .groupBy("_class")
         .agg(F.collect_list(F.struct("hash", "key")).alias("_cuts"))
     )
     at_zero = [(value, _targets(parts).count(0)) for value, parts in sizes]
-    classes = spark.createDataFrame(at_zero, f"value {kind.simpleString()}, _empty int").select(
+    classes = spark.createDataFrame(at_zero, f"value {kind}, _empty int").select(
         F.struct("value").alias("_class"), "_empty"
     )
     table = classes.join(F.broadcast(written(last, "last")), "_class", "left")
@@ -118,19 +125,16 @@ def stratified_split(
 
     `key` must identify a row; rows that share a key stay on one side.
     """
-    counts = class_counts(frame, label)
-    tests = test_sizes([n for _, n in counts], test)
-    sizes = [(value, [t, n - t]) for (value, n), t in zip(counts, tests)]
-    return _by_hash_rank(frame, label, key, seed, sizes, "_part").withColumn(
-        name, F.col("_part") == 0
-    ).drop("_part")
+
+    def allot(counts: list[int]) -> list[list[int]]:
+        return [[t, n - t] for n, t in zip(counts, test_sizes(counts, test))]
+
+    placed = _by_hash_rank(frame, label, key, seed, allot, "_part")
+    return placed.withColumn(name, F.col("_part") == 0).drop("_part")
 
 
 def stratified_folds(
     frame: DataFrame, label: str, key: str, k: int = 5, seed: int = 42, name: str = "fold"
 ) -> DataFrame:
     """Add the fold number 0..k-1, balanced within every class and overall."""
-    counts = class_counts(frame, label)
-    parts = fold_sizes([n for _, n in counts], k)
-    sizes = [(value, p) for (value, _), p in zip(counts, parts)]
-    return _by_hash_rank(frame, label, key, seed, sizes, name)
+    return _by_hash_rank(frame, label, key, seed, lambda counts: fold_sizes(counts, k), name)

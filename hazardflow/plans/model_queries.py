@@ -24,8 +24,8 @@ BOOST = {"maxIter": 5, "maxDepth": 4}
 
 def _parts(spark, sf):
     """Train and test rows of the stratified split, written once for the many passes of a fit."""
-    rows = split.stratified_split(sensor(spark, sf), TARGET, "sensor_id")
-    table = written(rows, "training")
+    rows = written(sensor(spark, sf), "sensor")
+    table = written(split.stratified_split(rows, TARGET, "sensor_id"), "training")
     return table.where("NOT is_test"), table.where("is_test")
 
 

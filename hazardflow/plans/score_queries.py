@@ -22,6 +22,7 @@ from hazardflow.plans.views import (
 )
 from hazardflow.reports import report
 from hazardflow.schema import CLASS_NAMES, FEATURES, FILE_KEY, HAZARD_WEIGHTS, TARGET
+from hazardflow.session import written
 from hazardflow.sources import points as pts
 
 SENSOR_CTE = EVENTS_SQL + sensor_sql("ev")
@@ -435,7 +436,7 @@ _ALLOT = """
         UNION ALL SELECT label, FALSE, train::BIGINT FROM a""",
 )
 def stratified_split(spark, sf):
-    out = split.stratified_split(sensor(spark, sf), TARGET, "sensor_id")
+    out = split.stratified_split(written(sensor(spark, sf), "sensor"), TARGET, "sensor_id")
     return out.groupBy(F.col(TARGET).alias("label"), "is_test").agg(F.count("*").alias("rows"))
 
 

@@ -9,10 +9,10 @@ def rows_of(spark, data):
     return spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs], "g string, x double")
 
 
-@pytest.mark.parametrize("small_group", [100_000, 5])
+@pytest.mark.parametrize("small_group, one_task", [(100_000, 10**6), (100_000, 0), (5, 10**6), (5, 0)])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_matches_numpy(spark, seed, small_group):
-    """small_group=5 sends even small groups through the sketch brackets."""
+def test_matches_numpy(spark, seed, small_group, one_task):
+    """small_group=5 sends small groups through the sketch, one_task=0 through the bins."""
     rng = np.random.default_rng(seed)
     data = {
         "even": list(rng.normal(size=400)),
@@ -22,7 +22,7 @@ def test_matches_numpy(spark, seed, small_group):
         "one": [5.0],
     }
     fractions = [0.1, 0.25, 0.5, 0.9]
-    out = exact_quantiles(rows_of(spark, data), ["x"], fractions, ["g"], accuracy=200, small_group=small_group)
+    out = exact_quantiles(rows_of(spark, data), ["x"], fractions, ["g"], accuracy=200, small_group=small_group, one_task=one_task)
     got = {(r.g, r.fraction): r.value for r in out.collect()}
     for g, values in data.items():
         if small_group == 5 and len(values) <= 5:
