@@ -17,6 +17,9 @@ SMALL_GROUP = 100_000
 ACCURACY = 50_000
 ONE_TASK = 5_000_000
 BINS = 4096
+HELD_VALUES = 10_000_000
+# Spark sorts instead of hashing once an aggregate of objects has this many groups open.
+OPEN_GROUPS = 128
 RESERVED = {"column", "fraction", "item", "n", "value", "zone", "copies", "seen", "bin", "start", "end"}
 
 
@@ -27,11 +30,14 @@ def exact_quantiles(
     key: Sequence[str] = (),
     accuracy: int = ACCURACY,
     small_group: int = SMALL_GROUP,
+    held_values: int = HELD_VALUES,
     one_task: int = ONE_TASK,
 ) -> DataFrame:
     """Linearly interpolated quantiles as (key.., column, fraction, n, value).
 
-    A mergeable sketch brackets each quantile; a second scan counts the values
+    Groups are counted first. If the values that one task can have open at a
+    time are at most `held_values`, a plain aggregate holds them. Else a
+    mergeable sketch brackets each quantile; a second scan counts the values
     outside the brackets and sorts only the few inside them. The result is
     exact: a rank outside its bracket raises an error rather than giving a near
     value. Where a bracket may hold more than `one_task` values, it is cut into
@@ -42,6 +48,12 @@ def exact_quantiles(
         raise ValueError(f"key columns may not be named {sorted(taken)}")
     slack = 4.0 / accuracy
     numbers = frame.select(*key, *[no_nan(F.col(c).cast("double")).alias(c) for c in columns])
+    counts = [F.count(c) for c in columns]
+    most = F.greatest(*counts) if len(counts) > 1 else counts[0]
+    size = numbers.groupBy(*key).agg(most.alias("n")).agg(F.max("n").alias("largest"), F.count("*").alias("groups")).first()
+    largest = size.largest or 0
+    if largest * min(size.groups, OPEN_GROUPS) * len(columns) <= held_values:
+        return _held(numbers, columns, fractions, key)
     bounds = written(_brackets(numbers, columns, fractions, key, accuracy, small_group), "brackets")
 
     group = key + ["item", "n"]
@@ -54,7 +66,6 @@ def exact_quantiles(
         .groupBy(*group, "zone", "value")
         .agg(F.count("*").alias("copies"))
     )
-    largest = bounds.select(F.explode("_brackets.n").alias("n")).agg(F.max("n")).first()[0] or 0
     held = max(small_group, 2 * slack * largest)
     if held <= one_task:
         ordered = W.partitionBy(*group).orderBy("zone", "value").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -91,6 +102,24 @@ def exact_quantiles(
     return results.unionByName(without_values)
 
 
+def _held(numbers: DataFrame, columns: list[str], fractions: list[float], key: list[str]) -> DataFrame:
+    """Quantiles of groups that are known to be small."""
+    wanted = F.array(*[F.lit(float(f)) for f in fractions])
+    wide = numbers.groupBy(*key).agg(
+        F.array(
+            *[
+                F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.percentile(c, wanted).alias("values"))
+                for c in columns
+            ]
+        ).alias("_items")
+    )
+    each = F.arrays_zip(wanted.alias("fraction"), F.col("values").alias("value"))
+    missing = F.transform(wanted, lambda f: F.struct(f.alias("fraction"), F.lit(None).cast("double").alias("value")))
+    return wide.select(*key, F.inline("_items")).select(
+        *key, "column", "n", F.inline(F.when(F.col("n") > 0, each).otherwise(missing))
+    ).select(*key, "column", "fraction", "n", "value")
+
+
 def _brackets(
     numbers: DataFrame, columns: list[str], fractions: list[float], key: list[str], accuracy: int, small_group: int
 ) -> DataFrame:

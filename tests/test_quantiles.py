@@ -9,10 +9,12 @@ def rows_of(spark, data):
     return spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs], "g string, x double")
 
 
-@pytest.mark.parametrize("small_group, one_task", [(100_000, 10**6), (100_000, 0), (5, 10**6), (5, 0)])
+@pytest.mark.parametrize("small_group, held_values, one_task",
+    [(100_000, 10**6, 10**6), (100_000, 0, 10**6), (100_000, 0, 0), (5, 0, 10**6), (5, 0, 0)],
+)
 @pytest.mark.parametrize("seed", [1, 2])
-def test_matches_numpy(spark, seed, small_group, one_task):
-    """small_group=5 sends small groups through the sketch, one_task=0 through the bins."""
+def test_matches_numpy(spark, seed, small_group, held_values, one_task):
+    """held_values=0 takes the brackets, small_group=5 the sketch, one_task=0 the bins."""
     rng = np.random.default_rng(seed)
     data = {
         "even": list(rng.normal(size=400)),
@@ -22,7 +24,7 @@ def test_matches_numpy(spark, seed, small_group, one_task):
         "one": [5.0],
     }
     fractions = [0.1, 0.25, 0.5, 0.9]
-    out = exact_quantiles(rows_of(spark, data), ["x"], fractions, ["g"], accuracy=200, small_group=small_group, one_task=one_task)
+    out = exact_quantiles(rows_of(spark, data), ["x"], fractions, ["g"], 200, small_group, held_values, one_task)
     got = {(r.g, r.fraction): r.value for r in out.collect()}
     for g, values in data.items():
         if small_group == 5 and len(values) <= 5:
@@ -31,11 +33,12 @@ def test_matches_numpy(spark, seed, small_group, one_task):
             assert got[g, f] == pytest.approx(np.quantile(values, f))
 
 
-def test_null_nan_and_empty_columns(spark):
+@pytest.mark.parametrize("held_values", [0, 10**6])
+def test_null_nan_and_empty_columns(spark, held_values):
     frame = spark.createDataFrame(
         [("a", 1.0, None), ("a", float("nan"), None), ("a", 4.0, None), ("b", None, 2.0)], "g string, x double, y double"
     )
-    got = {r.g: (r.x, r.y) for r in medians(frame, ["x", "y"], ["g"]).collect()}
+    got = {r.g: (r.x, r.y) for r in medians(frame, ["x", "y"], ["g"], held_values=held_values).collect()}
     assert got == {"a": (2.5, None), "b": (None, 2.0)}
 
 
