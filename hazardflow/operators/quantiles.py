@@ -13,8 +13,12 @@ from hazardflow.functions.scalar import no_nan
 from hazardflow.operators.lookup import attach_written
 from hazardflow.session import written
 
-SMALL_GROUP = 100_000
 ACCURACY = 50_000
+# Groups up to the first size are bracketed by least and greatest value, groups
+# up to the second by a wide bracket, others by one as narrow as the sketch allows.
+SMALL_GROUP = 2_000
+MIDDLE_GROUP = 1_000_000
+WIDE = 0.002
 ONE_TASK = 5_000_000
 BINS = 4096
 HELD_VALUES = 10_000_000
@@ -46,7 +50,6 @@ def exact_quantiles(
     key, columns, fractions = list(key), list(columns), sorted(fractions)
     if taken := RESERVED & set(key):
         raise ValueError(f"key columns may not be named {sorted(taken)}")
-    slack = 4.0 / accuracy
     numbers = frame.select(*key, *[no_nan(F.col(c).cast("double")).alias(c) for c in columns])
     counts = [F.count(c) for c in columns]
     most = F.greatest(*counts) if len(counts) > 1 else counts[0]
@@ -66,7 +69,8 @@ def exact_quantiles(
         .groupBy(*group, "zone", "value")
         .agg(F.count("*").alias("copies"))
     )
-    held = max(small_group, 2 * slack * largest)
+    near, wide = _slack(accuracy)
+    held = max(small_group, 2 * wide * min(largest, MIDDLE_GROUP), 2 * near * largest)
     if held <= one_task:
         ordered = W.partitionBy(*group).orderBy("zone", "value").rowsBetween(W.unboundedPreceding, W.currentRow)
         running = counted.withColumn("seen", F.sum("copies").over(ordered))
@@ -102,6 +106,12 @@ def exact_quantiles(
     return results.unionByName(without_values)
 
 
+def _slack(accuracy: int) -> tuple[float, float]:
+    """Half width of the narrow and the wide bracket, as shares of the group."""
+    near = 4.0 / accuracy
+    return near, max(near, WIDE)
+
+
 def _held(numbers: DataFrame, columns: list[str], fractions: list[float], key: list[str]) -> DataFrame:
     """Quantiles of groups that are known to be small."""
     wanted = F.array(*[F.lit(float(f)) for f in fractions])
@@ -124,11 +134,9 @@ def _brackets(
     numbers: DataFrame, columns: list[str], fractions: list[float], key: list[str], accuracy: int, small_group: int
 ) -> DataFrame:
     """Per key an array over the columns: count, lower and upper ends of each quantile's bracket."""
-    slack = 4.0 / accuracy
     count = len(fractions)
-    lower = [max(0.0, f - slack) for f in fractions]
-    upper = [min(1.0, f + slack) for f in fractions]
-    probes = F.array(*[F.lit(x) for x in lower + upper])
+    ends = [min(1.0, max(0.0, f + sign * slack)) for slack in _slack(accuracy) for sign in (-1, 1) for f in fractions]
+    probes = F.array(*[F.lit(x) for x in ends])
     wide = numbers.groupBy(*key).agg(
         *[
             F.struct(
@@ -143,12 +151,13 @@ def _brackets(
 
     def entry(i: int) -> Column:
         m = F.col(f"_m{i}")
-        small = m["n"] <= small_group
-        return F.struct(
-            m["n"].alias("n"),
-            F.when(small, F.array_repeat(m["least"], count)).otherwise(F.slice(m["probe"], 1, count)).alias("lo"),
-            F.when(small, F.array_repeat(m["most"], count)).otherwise(F.slice(m["probe"], count + 1, count)).alias("hi"),
-        )
+
+        def end(extreme: str, part: int) -> Column:
+            near, wide = (F.slice(m["probe"], start * count + 1, count) for start in (part, part + 2))
+            small = F.array_repeat(m[extreme], count)
+            return F.when(m["n"] <= small_group, small).when(m["n"] <= MIDDLE_GROUP, wide).otherwise(near)
+
+        return F.struct(m["n"].alias("n"), end("least", 0).alias("lo"), end("most", 1).alias("hi"))
 
     return wide.select(*key, F.array(*[entry(i) for i in range(len(columns))]).alias("_brackets"))
 

@@ -49,8 +49,8 @@ def union_all(first: DataFrame, second: DataFrame) -> DataFrame:
 def pivot_fields(
     points: DataFrame, fields: Sequence[str], key: Sequence[str] = ("ts",), field: str = "field", value: str = "value"
 ) -> DataFrame:
-    """One column per listed field; the list keeps the pivot to one pass."""
-    return points.groupBy(*key).pivot(field, list(fields)).agg(F.max(value))
+    """One column per listed field, by one aggregate and one shuffle."""
+    return points.groupBy(*key).agg(*[F.max(F.when(F.col(field) == f, F.col(value))).alias(f) for f in fields])
 
 
 def latest(frame: DataFrame, n: int, order: str = "ts") -> DataFrame:
