@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hazardflow.schema import NULL_TOKENS
+from hazardflow.schema import NULL_TOKENS, RISK_STARTS
 
 # Java also reads "1d" or "0x1p3" as numbers; a CSV reader must not.
 _NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity)\s*$"
@@ -38,12 +38,11 @@ def no_nan(value: Column) -> Column:
 
 
 def risk_level(probability: Column) -> Column:
-    return (
-        F.when(probability < 0.40, "Low")
-        .when(probability < 0.55, "Medium")
-        .when(probability < 0.75, "High")
-        .when(probability.isNotNull(), "Intense")
-    )
+    """The last band that starts at or below the probability; the first has no lower end."""
+    level = F.when(probability.isNotNull(), RISK_STARTS[0][1])
+    for start, name in RISK_STARTS[1:]:
+        level = F.when(probability >= start, name).otherwise(level)
+    return level
 
 
 def confidence(probability: Column, accuracy: float = 0.95) -> Column:

@@ -11,6 +11,14 @@ from hazardflow.functions.scalar import name_list
 from hazardflow.operators.profile import column_metrics, is_numeric_type, row_copies, schema_diff
 from hazardflow.schema import EXTRA_CELL, FEATURES, FILE_KEY, REQUIRED
 
+# The texts of the warnings.
+MISSING_COLUMNS = "Missing required columns: %s"
+EXTRA_COLUMNS = "Extra columns found (will be ignored): %s"
+NOT_NUMERIC = "Column %s should be numeric but is %s"
+HIGH_MISSING = "High missing values percentage: %.2f%%"
+DUPLICATES = "Duplicate rows found: %d (%.2f%%)"
+EMPTY_COLUMNS = "Completely empty columns: %s"
+
 
 def _names(metrics: Column, keep) -> Column:
     return F.transform(F.filter(metrics, keep), lambda m: m["column"])
@@ -95,28 +103,17 @@ def with_warnings(table: DataFrame, missing_pct: float = 10) -> DataFrame:
     no_texts = F.array().cast("array<string>")
     bad_types = F.transform(
         "non_numeric_required",
-        lambda c: F.concat(F.lit("Column "), c, F.lit(" should be numeric but is "), F.coalesce(F.col("data_types")[c], F.lit("object"))),
-    )
-    found = F.array(
-        F.when(
-            F.size("missing_columns") > 0,
-            F.concat(F.lit("Missing required columns: "), name_list(F.col("missing_columns"))),
-        ),
-        F.when(
-            F.size("extra_columns") > 0,
-            F.concat(F.lit("Extra columns found (will be ignored): "), name_list(F.col("extra_columns"))),
-        ),
+        lambda c: F.format_string(NOT_NUMERIC, c, F.coalesce(F.col("data_types")[c], F.lit("object"))),
     )
+
+    def listed(text: str, names: str) -> Column:
+        return F.when(F.size(names) > 0, F.format_string(text, name_list(F.col(names))))
+
+    found = F.array(listed(MISSING_COLUMNS, "missing_columns"), listed(EXTRA_COLUMNS, "extra_columns"))
     measured = F.array(
-        F.when(share > missing_pct, F.format_string("High missing values percentage: %.2f%%", share)),
-        F.when(
-            F.col("duplicates") > 0,
-            F.format_string("Duplicate rows found: %d (%.2f%%)", F.col("duplicates"), repeated),
-        ),
-        F.when(
-            F.size("empty_columns") > 0,
-            F.concat(F.lit("Completely empty columns: "), name_list(F.col("empty_columns"))),
-        ),
+        F.when(share > missing_pct, F.format_string(HIGH_MISSING, share)),
+        F.when(F.col("duplicates") > 0, F.format_string(DUPLICATES, F.col("duplicates"), repeated)),
+        listed(EMPTY_COLUMNS, "empty_columns"),
     )
     return table.withColumns(
         {
@@ -156,48 +153,39 @@ def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where("valid").drop("valid", "violations"), checked.where("NOT valid").drop("valid")
 
 
-def _advice(category: str, issue: str, text: str, priority: str) -> Column:
-    return F.struct(
-        F.lit(category).alias("category"),
-        F.lit(issue).alias("issue"),
-        F.lit(text).alias("recommendation"),
-        F.lit(priority).alias("priority"),
-    )
+# What each rule of the quality report advises.
+ADVICE = {
+    "data_quality": (
+        "Data quality warnings detected",
+        "Review validation warnings and consider additional data cleaning steps",
+        "medium",
+    ),
+    "data_completeness": (
+        "Missing values found in dataset",
+        "Implement more sophisticated missing value imputation strategies",
+        "low",
+    ),
+    "data_efficiency": (
+        "Significant data reduction during preprocessing",
+        "Review data collection processes to reduce duplicate and invalid records",
+        "medium",
+    ),
+}
+
+
+def _advice(category: str) -> Column:
+    names = ("category", "issue", "recommendation", "priority")
+    return F.struct(*[F.lit(text).alias(name) for name, text in zip(names, (category, *ADVICE[category]))])
 
 
 def recommendation_list(reduction_limit: float = 20) -> Column:
     """Advice by rule over files_with_warnings, total_missing_values and data_reduction_pct."""
-    return F.array_compact(
-        F.array(
-            F.when(
-                F.col("files_with_warnings") > 0,
-                _advice(
-                    "data_quality",
-                    "Data quality warnings detected",
-                    "Review validation warnings and consider additional data cleaning steps",
-                    "medium",
-                ),
-            ),
-            F.when(
-                F.col("total_missing_values") > 0,
-                _advice(
-                    "data_completeness",
-                    "Missing values found in dataset",
-                    "Implement more sophisticated missing value imputation strategies",
-                    "low",
-                ),
-            ),
-            F.when(
-                F.col("data_reduction_pct") > reduction_limit,
-                _advice(
-                    "data_efficiency",
-                    "Significant data reduction during preprocessing",
-                    "Review data collection processes to reduce duplicate and invalid records",
-                    "medium",
-                ),
-            ),
-        )
-    )
+    rules = {
+        "data_quality": F.col("files_with_warnings") > 0,
+        "data_completeness": F.col("total_missing_values") > 0,
+        "data_efficiency": F.col("data_reduction_pct") > reduction_limit,
+    }
+    return F.array_compact(F.array(*[F.when(broken, _advice(name)) for name, broken in rules.items()]))
 
 
 def recommendations(summary: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -109,7 +109,8 @@ def _by_hash_rank(
     )
     table = classes.join(F.broadcast(written(last, "last")), "_class", "left")
     own = F.struct(F.xxhash64(F.lit(seed), F.col(key)).alias("hash"), F.col(key).alias("key"))
-    passed = F.size(F.filter(F.coalesce("_cuts", F.array()), lambda c: c < own))
+    most = max((len(parts) - 1 for _, parts in sizes), default=0)
+    passed = sum((F.coalesce((F.get("_cuts", F.lit(i)) < own).cast("int"), F.lit(0)) for i in range(most)), F.lit(0))
     return (
         frame.withColumn("_class", F.struct(F.col(label).alias("value")))
         .join(F.broadcast(table), "_class", "left")

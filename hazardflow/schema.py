@@ -37,7 +37,8 @@ BOUNDS = {
 
 # Class codes, risk bands and the weights of the hazard index.
 CLASS_NAMES = {0: "None", 1: "Low", 2: "Medium", 3: "High"}
-RISK_LEVELS = ["Low", "Medium", "High", "Intense"]
+RISK_STARTS = [(0.0, "Low"), (0.40, "Medium"), (0.55, "High"), (0.75, "Intense")]
+RISK_LEVELS = [name for _, name in RISK_STARTS]
 HAZARD_WEIGHTS = {
     "Energy_density_Joule_sqr": 0.3,
     "Event_freq_unit_per_day_log": 0.2,
