@@ -45,7 +45,8 @@ def exact_quantiles(
     outside the brackets and sorts only the few inside them. The result is
     exact: a rank outside its bracket raises an error rather than giving a near
     value. Where a bracket may hold more than `one_task` values, it is cut into
-    bins first and only the bins with a wanted rank are sorted.
+    bins first and only the bins with a wanted rank are sorted. The frame is read
+    up to three times: give a table, not a long plan.
     """
     key, columns, fractions = list(key), list(columns), sorted(fractions)
     if taken := RESERVED & set(key):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hazardflow.operators.lookup import attach
 from hazardflow.schema import FILE_KEY
 
 
@@ -37,8 +38,9 @@ def join_stages(validated: DataFrame, cleaned: DataFrame, stored: DataFrame, key
 
 
 def only_ok(frame: DataFrame, errors: DataFrame, key: str = FILE_KEY) -> DataFrame:
-    """Rows of files that are not in the error table."""
-    return frame.join(errors.select(key).distinct(), key, "left_anti")
+    """Rows of files that are not in the error table; rows do not move unless that table is large."""
+    failed = errors.where(F.col(key).isNotNull()).select(key).distinct().withColumn("_failed", F.lit(True))
+    return attach(frame, failed, [key]).where("_failed IS NULL").drop("_failed")
 
 
 def union_all(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -121,7 +121,7 @@ def clean_files(spark, sf):
     folder = scratch_path(spark, "clean")
     cleaned, _ = clean.clean_table(dirty(spark, sf), ["value", "k"], "level")
     written = writers.write_clean(cleaned, folder, "20240201_000000")
-    rows, _ = readers.read_csv_files(spark, f"{folder}/output_name=*")
+    rows, _ = readers.read_csv_files(spark, f"{folder}/layout=*/output_name=*")
     counts = rows.groupBy(F.regexp_extract(FILE_KEY, r"output_name=([^/]+)/", 1).alias("output_name")).agg(
         F.count("*").alias("rows")
     )

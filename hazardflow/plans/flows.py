@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hazardflow.functions.scalar import stamp
 from hazardflow.models import registry, score, train
 from hazardflow.operators import clean, quality, relate, split
+from hazardflow.operators.lookup import attach
 from hazardflow.operators.profile import range_check, row_copies
 from hazardflow.reports import report
 from hazardflow.schema import EXTRA_CELL, FEATURES, FILE_KEY, TARGET
@@ -35,8 +36,9 @@ def ingest(
     good = relate.only_ok(copies.drop(EXTRA_CELL), checked.where("status = 'error'"))
     cleaned, stats = clean.clean_table(good, files=files)
     cleaned, stats = written(cleaned, "cleaned"), written(stats, "stats")
-    outputs = writers.write_clean(cleaned, f"{out}/clean/run_id={run_id}", run_id)
-    points = pts.to_points(cleaned, measurement, now=now)
+    outputs = writers.write_clean(cleaned, f"{out}/clean/run_id={run_id}", run_id, files=files)
+    typed = attach(cleaned, checked.select(FILE_KEY, F.col("data_types").alias("_types")), [FILE_KEY])
+    points = pts.to_points(typed, measurement, now=now, types="_types")
     stored = written(writers.write_points(points, f"{out}/points", run_id), "stored")
 
     stages = relate.join_stages(checked, stats, stored.withColumnRenamed("status", "storage_status"))

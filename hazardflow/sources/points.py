@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hazardflow.functions.scalar import as_number
+from hazardflow.operators.profile import is_numeric_type
 from hazardflow.schema import FILE_KEY
 
 
@@ -15,21 +17,34 @@ def time_column(frame: DataFrame) -> str | None:
 
 
 def to_points(
-    frame: DataFrame, measurement: str, ts_col: str | None = None, now=None, key: str = FILE_KEY
+    frame: DataFrame,
+    measurement: str,
+    ts_col: str | None = None,
+    now=None,
+    key: str = FILE_KEY,
+    types: str | None = None,
 ) -> DataFrame:
     """Numeric columns become fields, text columns become tags; NULLs are left out.
 
-    Rows without a time get `now`, which the caller passes in.
+    `types` names a map from column to type name (as in a validation table) that
+    tells for each row which text columns hold numbers. Rows without a time get
+    `now`, which the caller passes in.
     """
     ts_col = ts_col or time_column(frame)
-    data = [f for f in frame.schema.fields if f.name not in (ts_col, key)]
-    numbers = [f.name for f in data if isinstance(f.dataType, T.NumericType)]
-    texts = [f.name for f in data if isinstance(f.dataType, T.StringType)]
-
-    def present(names: list[str], kind: str) -> Column:
-        if not names:
+    data = [f for f in frame.schema.fields if f.name not in (ts_col, key, types)]
+    numbers = {f.name: F.col(f"`{f.name}`") for f in data if isinstance(f.dataType, T.NumericType)}
+    texts = {f.name: F.col(f"`{f.name}`") for f in data if isinstance(f.dataType, T.StringType)}
+    fields, tags = dict(numbers), dict(texts)
+    if types is not None:
+        for c, value in texts.items():
+            kind = F.try_element_at(types, F.lit(c))
+            fields[c] = F.when(is_numeric_type(kind), as_number(value))
+            tags[c] = F.when(kind == "object", value)
+
+    def present(columns: dict[str, Column], kind: str) -> Column:
+        if not columns:
             return F.create_map().cast(f"map<string,{kind}>")
-        pairs = [x for c in names for x in (F.lit(c), F.col(f"`{c}`").cast(kind))]
+        pairs = [x for c, value in columns.items() for x in (F.lit(c), value.cast(kind))]
         empty = (lambda v: v.isNull() | F.isnan(v)) if kind == "double" else (lambda v: v.isNull())
         return F.map_filter(F.create_map(*pairs), lambda _, v: ~empty(v))
 
@@ -38,8 +53,8 @@ def to_points(
     return frame.select(
         *([key] if key in frame.columns else []),
         F.lit(measurement).alias("measurement"),
-        present(texts, "string").alias("tags"),
-        present(numbers, "double").alias("fields"),
+        present(tags, "string").alias("tags"),
+        present(fields, "double").alias("fields"),
         ts.alias("ts"),
     )
 

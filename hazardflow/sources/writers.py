@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazardflow.functions.scalar import output_name
+from hazardflow.operators.lookup import attach
 from hazardflow.operators.numbering import batch_index
 from hazardflow.schema import FEATURES, FILE_KEY
 from hazardflow.sources.readers import list_inputs
@@ -20,23 +21,42 @@ def write_run(frame: DataFrame, path: str, run_date: str) -> str:
     return target
 
 
-def write_clean(frame: DataFrame, path: str, run: str, key: str = FILE_KEY) -> DataFrame:
-    """Write each file's cleaned rows as CSV under its output name.
-
-    Gives (output_name, parts, output_bytes). Rows are rebalanced by output, so
-    a large file is spread over several parts and small ones are not scattered.
+def _layouts(frame: DataFrame, files: DataFrame | None, key: str) -> list[tuple[DataFrame, list[str]]]:
+    """The rows by the columns their files have; one part when all files are alike."""
+    names = [c for c in frame.columns if c not in (key, "output_name")]
+    if files is None:
+        return [(frame, names)]
+    known = files.where("size(columns) > 0").select(key, F.col("columns").alias("_own"))
+    lists = sorted(r["_own"] for r in known.select("_own").distinct().collect())
+    if len(lists) < 2:
+        return [(frame, [c for c in names if not lists or c in lists[0]])]
+    tagged = attach(frame, known, [key])
+    return [
+        (tagged.where(F.col("_own") == F.array(*[F.lit(c) for c in own])), [c for c in own if c in names])
+        for own in lists
+    ]
+
+
+def write_clean(frame: DataFrame, path: str, run: str, key: str = FILE_KEY, files: DataFrame | None = None) -> DataFrame:
+    """Write each file's cleaned rows as CSV under its output name, with the columns it had.
+
+    Gives (output_name, parts, output_bytes). Files with the same columns
+    (`files`: key, columns) are written together. Rows are rebalanced by output,
+    so a large file is spread over several parts and small ones are not
+    scattered.
     """
     named = frame.withColumn("output_name", output_name(F.col(key), F.lit(run)))
-    (
-        named.drop(key)
-        .hint("rebalance", "output_name")
-        .write.mode("overwrite")
-        .partitionBy("output_name")
-        .option("header", True)
-        .csv(path)
-    )
+    for number, (rows, columns) in enumerate(_layouts(named, files, key)):
+        (
+            rows.select("output_name", *[F.col(f"`{c}`") for c in columns])
+            .hint("rebalance", "output_name")
+            .write.mode("overwrite")
+            .partitionBy("output_name")
+            .option("header", True)
+            .csv(f"{path}/layout={number}")
+        )
     return (
-        list_inputs(frame.sparkSession, f"{path}/output_name=*")
+        list_inputs(frame.sparkSession, f"{path}/layout=*/output_name=*")
         .select(F.regexp_extract("path", r"output_name=([^/]+)/", 1).alias("output_name"), "bytes")
         .groupBy("output_name")
         .agg(F.count("*").alias("parts"), F.sum("bytes").alias("output_bytes"))
@@ -80,6 +100,8 @@ def prediction_rows(scored: DataFrame, kind: str, ts=None, batch: Sequence[str]
     """
     rows = scored if ts is None else scored.withColumn("ts", F.lit(ts).cast("timestamp"))
     if kind == "batch":
+        if not order:
+            raise ValueError("a batch needs the columns that order its rows")
         rows = batch_index(rows.withColumn("_batch", F.struct(*batch) if batch else F.lit(0)), ["_batch"], order)
         rows = rows.withColumn("batch_index", F.col("batch_index").cast("string"))
     else:

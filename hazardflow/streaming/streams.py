@@ -33,8 +33,8 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, partition: Seque
 def validate_stream(stream: DataFrame, good: str, quarantine: str, checkpoint: str, bounds=BOUNDS) -> StreamingQuery:
     """Write good rows and rejected rows to two tables.
 
-    Each micro-batch is checked once and written by one job, with the outcome
-    as a partition; a repeated micro-batch replaces its own folder.
+    Each micro-batch is checked once; a repeated micro-batch replaces its own
+    folder in both tables.
     """
 
     def sink(batch: DataFrame, number: int) -> None:

@@ -9,7 +9,7 @@ from hazardflow.operators.relate import hazard_index, latest
 from hazardflow.plans import flows
 from hazardflow.schema import FEATURES, HAZARD_WEIGHTS, REQUIRED, TARGET
 from hazardflow.session import written
-from hazardflow.sources.readers import read_points, read_predictions
+from hazardflow.sources.readers import read_csv_files, read_points, read_predictions
 
 HEADER = ",".join(REQUIRED)
 
@@ -18,7 +18,7 @@ def test_ingest(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()
     (inbox / "a.csv").write_text(f",{HEADER}\n" + "0,1,2,3,4,5,6,7,8,1\n0,1,2,3,4,5,6,7,8,1\n1,0,0,0,0,0,0,0,0,0\n")
-    (inbox / "b.CSV").write_text(f"{HEADER},note\n9,2,3,4,5,6,7,8,2,x\n")
+    (inbox / "b.CSV").write_text(f"{HEADER},note,depth,flag\n9,2,3,4,5,6,7,8,2,x,1.5,True\n")
     (inbox / "bad.csv").write_text("")
     for _ in range(2):  # a repeated run replaces itself
         out = flows.ingest(spark, str(inbox), str(tmp_path / "out"), "r1", "2024-01-02 00:00:00")
@@ -31,6 +31,12 @@ def test_ingest(spark, tmp_path):
     assert out["stages"].count() == 3
     points = read_points(spark, str(tmp_path / "out/points"), "sensors", ["Duration_days"], "2024-01-02 00:00:00")
     assert sorted(r.value for r in points.collect()) == [1.0, 9.0]
+    stored = spark.read.parquet(str(tmp_path / "out/points"))
+    extra = {r.fields["Duration_days"]: (r.tags, r.fields.get("depth")) for r in stored.collect()}
+    assert extra == {1.0: ({}, None), 9.0: ({"note": "x"}, 1.5)}
+    again, listed = read_csv_files(spark, str(tmp_path / "out/clean/run_id=r1/layout=*/output_name=*"))
+    headers = {len(r.columns) for r in listed.collect()}
+    assert again.count() == 2 and headers == {9, 12}
 
 
 @pytest.fixture(scope="module")

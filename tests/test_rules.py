@@ -64,6 +64,12 @@ def test_attach_risk_and_latest(spark):
     assert sorted(map(tuple, relate.latest_per_key(rows, ["k"], ["o"]).collect())) == [("a", 2, "y"), ("b", 1, None)]
 
 
+def test_only_ok_keeps_null_keys(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "_file string, x int")
+    errors = spark.createDataFrame([("b",), ("b",), (None,)], "_file string")
+    assert sorted(r.x for r in relate.only_ok(rows, errors).collect()) == [1, 3]
+
+
 def test_top_rows(spark):
     frame = spark.createDataFrame([("a", 0.9), ("b", 0.9), ("c", 0.1)], "model string, acc double")
     assert {r.model for r in relate.top_rows(frame, "acc").collect()} == {"a", "b"}
