@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardflow.llm import piece_codec, token_counts, token_rows, vector_packing
+from hazardflow.llm import golay, piece_codec, token_counts, token_rows, vector_packing
 from hazardflow.llm.common import table, tokenizer_path
 
 QUERIES = {}
@@ -49,3 +49,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+@query("op4_golay_near")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = golay.near_groups(table(spark, sf_dir, "documents"))
+    return rows.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
