@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardflow.llm import golay, piece_codec, token_counts, token_rows, vector_packing
+from hazardflow.llm import golay, intervals, piece_codec, token_counts, token_rows, vector_packing
 from hazardflow.llm.common import table, tokenizer_path
 
 QUERIES = {}
@@ -55,3 +55,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = golay.near_groups(table(spark, sf_dir, "documents"))
     return rows.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
+@query("op5_interval_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.report(table(spark, sf_dir, "documents"))
