@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardflow.llm import golay, intervals, piece_codec, token_counts, token_rows, vector_packing
+from hazardflow.llm import adaptive_rules, golay, intervals, piece_codec, quality_model, token_counts, token_rows, vector_packing
 from hazardflow.llm.common import table, tokenizer_path
 
 QUERIES = {}
@@ -60,3 +60,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_interval_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.report(table(spark, sf_dir, "documents"))
+
+
+@query("op1_quality_model")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_adaptive_rules")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive_rules.judged(table(spark, sf_dir, "documents")).drop("lang", "source")
