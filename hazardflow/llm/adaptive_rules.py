@@ -21,11 +21,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazardflow.llm.common import sliced
 from hazardflow.llm.text_metrics import base_metrics
 from hazardflow.session import written
 
@@ -38,19 +38,22 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lin
 SLACK = {"symbol_share": 0.03, "upper_share": 0.2, "dup_line_share": 0.5, "repeat_share": 0.35, "word_length": 4.0}
 
 
-def metrics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of every row."""
-    kept = docs.select("doc_id", "lang", "source", "text")
-    keys = kept.columns[:3]
+def counts_column(text: str = "text") -> Column:
+    """Struct of the counts of each text."""
+
+    @F.arrow_udf(f"struct<{', '.join(f'{c}: bigint' for c in COUNTS)}>")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            step = max(1, len(texts) * (4 << 20) // max(texts.nbytes, 1))
+            parts = [base_metrics(texts.slice(i, step)) for i in range(0, max(len(texts), 1), step)]
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate([p[c] for p in parts]), pa.int64()) for c in COUNTS], COUNTS)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            found = base_metrics(batch.column(3))
-            columns = [batch.column(i) for i in range(3)] + [pa.array(found[c], pa.int64()) for c in COUNTS]
-            yield pa.record_batch(columns, [*keys, *COUNTS])
+    return count(text)
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[:3])
-    return kept.mapInArrow(count, f"{kinds}, " + ", ".join(f"{c} long" for c in COUNTS))
+
+def metrics(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, source and the counts of every row."""
+    return docs.select("doc_id", "lang", "source", counts_column().alias("found")).select("doc_id", "lang", "source", "found.*")
 
 
 def _share(part: str, whole: str) -> Column:
@@ -110,14 +113,32 @@ def thresholds(rows: DataFrame) -> DataFrame:
     return joined.groupBy("lang", "source").agg(*[F.max(F.when(F.col("name") == k, bound)).alias(f"max_{k}") for k in SLACK])
 
 
+def _with_bounds(rows: DataFrame, bounds: DataFrame) -> DataFrame:
+    bounds = bounds.withColumnsRenamed({"lang": "lang of bounds", "source": "source of bounds"})
+    same = F.col("lang").eqNullSafe(F.col("lang of bounds")) & F.col("source").eqNullSafe(F.col("source of bounds"))
+    return rows.join(bounds, same, "left").drop("lang of bounds", "source of bounds")
+
+
+def _inside() -> Column:
+    inside = F.lit(True)
+    for name, value in values().items():
+        inside = inside & F.coalesce(value <= F.col(f"max_{name}"), F.lit(True))
+    return inside
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, counts, values, bounds, base_failed and kept of every row."""
     rows = written(metrics(docs), "metrics")
-    bounds = written(thresholds(rows), "thresholds").withColumnsRenamed({"lang": "lang of bounds", "source": "source of bounds"})
-    same = F.col("lang").eqNullSafe(F.col("lang of bounds")) & F.col("source").eqNullSafe(F.col("source of bounds"))
-    joined = rows.join(bounds, same, "left").drop("lang of bounds", "source of bounds")
+    joined = _with_bounds(rows, written(thresholds(rows), "thresholds"))
     full = joined.withColumns({**values(), "base_failed": base_failed()})
-    inside = F.lit(True)
-    for name in SLACK:
-        inside = inside & F.coalesce(F.col(name) <= F.col(f"max_{name}"), F.lit(True))
-    return full.withColumn("kept", ~F.col("base_failed") & inside)
+    return full.withColumn("kept", ~F.col("base_failed") & _inside())
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows that are kept, with all their columns as they are."""
+    rows = written(metrics(docs), "metrics")
+    bounds = written(thresholds(rows), "thresholds")
+    names = docs.columns
+    packed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), "lang", "source", counts_column().alias("found"))
+    judged_rows = _with_bounds(packed.select("row", "lang", "source", "found.*"), bounds)
+    return judged_rows.filter(~base_failed() & _inside()).select("row.*")

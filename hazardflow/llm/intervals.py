@@ -242,7 +242,7 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
 
 
 def _texts(held: pa.Table) -> tuple[list[tuple[int, int]], list[bytes], np.ndarray]:
-    """Keys, texts and smallest documents of a chunk, by document."""
+    """Keys, texts and smallest documents of a chunk, by document: the same order in every step."""
     first: dict[tuple[int, int], int] = {}
     text: dict[tuple[int, int], bytes] = {}
     columns = [held[c].to_pylist() for c in ("k1", "k2", "doc_id", "text")]
@@ -255,10 +255,11 @@ def _texts(held: pa.Table) -> tuple[list[tuple[int, int]], list[bytes], np.ndarr
     return keys, [text[k] for k in keys], np.array([first[k] for k in keys], np.int64)
 
 
-def removed_spans(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFrame:
+def removed_spans(docs: DataFrame, least: int = LEAST, hot: int = HOT, whole_characters: bool = False) -> DataFrame:
     """One row per distinct text: k1, k2, doc_id (the smallest), spans (start, stop in bytes), kept (bytes).
 
-    The spans hold for the smallest document of a text; its later copies lose all of it.
+    The spans hold for the smallest document of a text; its later copies lose all of it. With
+    whole_characters, spans shrink to the characters they cover in full.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, buckets, blocks = (max(1, -(-total // size)) for size in (CHUNK_BYTES, CHUNK_BYTES, BLOCK_BYTES))
@@ -304,23 +305,23 @@ def removed_spans(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFr
             yield pa.record_batch([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["chunk", "hashes", "flags"])
 
     def send(held: pa.Table, marks: pa.Table) -> pa.Table:
-        out = {name: [] for name in ("block", "route", "string", "windows", "doc_id", "chunk", "k1", "k2", "start")}
+        out = {name: [] for name in ("block", "route", "string", "windows", "doc_id", "chunk", "number", "start")}
         if held.num_rows and marks.num_rows:
             chunk = held["chunk"][0].as_py()
             value = np.frombuffer(b"".join(marks["hashes"].to_pylist()), np.uint64)
             flag = np.frombuffer(b"".join(marks["flags"].to_pylist()), np.uint8)
             order = np.argsort(value)
             value, flag = value[order], flag[order]
-            keys, texts_of, docs_of = _texts(held)
+            _, texts_of, docs_of = _texts(held)
             with no_cycles():
-                _send(out, chunk, keys, texts_of, docs_of, value, flag, blocks, least)
+                _send(out, chunk, texts_of, docs_of.tolist(), value, flag, blocks, least)
         return _sent(out)
 
     def expand(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.Table.from_batches(list(batches)).combine_chunks()
         done = np.array([w < 0 for w in held["windows"].to_pylist()])
         settled = held.filter(pa.array(done))
-        parts = [(settled["chunk"].to_numpy(), settled["k1"].to_numpy(), settled["k2"].to_numpy(), settled["start"].to_numpy(), settled["start"].to_numpy() - settled["windows"].to_numpy() + least - 1)]
+        parts = [(settled["chunk"].to_numpy(), settled["number"].to_numpy(), settled["start"].to_numpy(), settled["start"].to_numpy() - settled["windows"].to_numpy() + least - 1)]
         open_ = held.filter(pa.array(~done))
         if open_.num_rows:
             open_ = open_.take(pa.array(np.argsort(open_["route"].to_numpy(), kind="stable")))
@@ -336,24 +337,26 @@ def removed_spans(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFr
                 part = open_.slice(begin, stop - begin)
                 row, first, end = covered(strings[begin:stop], part["windows"].to_numpy(), part["doc_id"].to_numpy(), least)
                 start = part["start"].to_numpy()[row]
-                parts.append((part["chunk"].to_numpy()[row], part["k1"].to_numpy()[row], part["k2"].to_numpy()[row], start + first, start + end + least - 1))
+                parts.append((part["chunk"].to_numpy()[row], part["number"].to_numpy()[row], start + first, start + end + least - 1))
                 begin = stop
         columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        names = ["chunk", "k1", "k2", "start", "stop"]
-        yield pa.record_batch([pa.array(c, pa.int32() if n == "chunk" else pa.int64()) for c, n in zip(columns, names, strict=True)], names)
+        names = ["chunk", "number", "start", "stop"]
+        yield pa.record_batch([pa.array(c, pa.int32() if n in ("chunk", "number") else pa.int64()) for c, n in zip(columns, names, strict=True)], names)
 
     def cut(held: pa.Table, spans: pa.Table) -> pa.Table:
         keys, values, docs_of = _texts(held) if held.num_rows else ([], [], np.zeros(0, np.int64))
-        order = np.lexsort((spans["start"].to_numpy(), spans["k2"].to_numpy(), spans["k1"].to_numpy()))
-        own: dict[tuple[int, int], list[list[int]]] = {}
+        order = np.lexsort((spans["start"].to_numpy(), spans["number"].to_numpy()))
+        own: dict[int, list[list[int]]] = {}
         rows = spans.take(pa.array(order))
-        for k1, k2, start, stop in zip(*[rows[c].to_pylist() for c in ("k1", "k2", "start", "stop")], strict=True):
-            mine = own.setdefault((k1, k2), [])
+        for number, start, stop in zip(*[rows[c].to_pylist() for c in ("number", "start", "stop")], strict=True):
+            mine = own.setdefault(number, [])
             if mine and start <= mine[-1][1]:
                 mine[-1][1] = max(stop, mine[-1][1])
             else:
                 mine.append([start, stop])
-        found = [own.get(k, []) for k in keys]
+        found = [own.get(i, []) for i in range(len(keys))]
+        if whole_characters:
+            found = [_shrunk(t, s) for t, s in zip(values, found, strict=True)]
         kept = [_without(t, s) for t, s in zip(values, found, strict=True)]
         columns = [
             pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(docs_of, pa.int64()),
@@ -365,12 +368,12 @@ def removed_spans(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFr
     by_bucket = texts.groupBy("chunk").applyInArrow(minimizers, "bucket int, chunk int, hashes binary, times binary")
     marks = by_bucket.groupBy("bucket").applyInArrow(shared, "chunk int, hashes binary, flags binary")
     sent = texts.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(send, SENT)
-    spans = sent.groupBy("block").applyInArrow(expand, "chunk int, k1 long, k2 long, start long, stop long")
+    spans = sent.groupBy("block").applyInArrow(expand, "chunk int, number int, start long, stop long")
     result = "k1 long, k2 long, doc_id long, spans array<struct<start: long, stop: long>>, kept binary"
     return texts.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(cut, result)
 
 
-SENT = "block int, route long, string binary, windows long, doc_id long, chunk int, k1 long, k2 long, start long"
+SENT = "block int, route long, string binary, windows long, doc_id long, chunk int, number int, start long"
 
 
 def _flat(column: pa.ChunkedArray) -> pa.Array:
@@ -384,21 +387,21 @@ def _once_per_text(value: np.ndarray, number: np.ndarray) -> np.ndarray:
     return value[np.concatenate([[True], (value[1:] != value[:-1]) | (number[1:] != number[:-1])])]
 
 
-def _send(out, chunk, keys, texts, docs, value, flag, blocks, least) -> None:
+def _send(out, chunk, texts, docs, value, flag, blocks, least) -> None:
     """Runs of shared minimizers for the blocks; texts come by increasing document."""
     holder: dict[tuple[int, bytes], int] = {}
     columns = list(out.values())
     sizes = np.uint64(blocks)
 
     def add(block: int, route: int, string: bytes, windows: int, text: int, start: int) -> None:
-        row = (block, route, string, windows, int(docs[text]), chunk, *keys[text], start)
+        row = (block, route, string, windows, docs[text], chunk, text, start)
         for column, x in zip(columns, row, strict=True):
             column.append(x)
 
     def offer(route: int, block: int, string: bytes, windows: int, text: int, start: int) -> None:
         first = holder.setdefault((route, string), text)
         if docs[first] < docs[text]:  # an earlier document of this chunk has all of it
-            add(block, route, b"", -windows, text, start)
+            add(block, 0, b"", -windows, text, start)
         else:
             add(block, route, string, windows, text, start)
 
@@ -427,10 +430,22 @@ def _code(window: bytes) -> int:
 
 
 def _sent(out: dict[str, list]) -> pa.Table:
-    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
     return pa.table([pa.array(c, k) for c, k in zip(out.values(), kinds, strict=True)], list(out))
 
 
+def _shrunk(text: bytes, spans: list[list[int]]) -> list[list[int]]:
+    out = []
+    for start, stop in spans:
+        while start < stop and text[start] & 0xC0 == 0x80:
+            start += 1
+        while start < stop < len(text) and text[stop] & 0xC0 == 0x80:
+            stop -= 1
+        if start < stop:
+            out.append([start, stop])
+    return out
+
+
 def _without(text: bytes, spans: list[list[int]]) -> bytes:
     if not spans:
         return text
@@ -457,3 +472,22 @@ def report(docs: DataFrame, least: int = LEAST) -> DataFrame:
         F.when(alone, zero).when(copy, F.lit(1).cast("long")).otherwise(F.col("spans_of")).alias("n_spans"),
         F.when(alone, F.col("own_sha")).when(copy, F.sha2(F.lit(""), 256)).otherwise(F.col("sha_of")).alias("kept_sha256"),
     )
+
+
+def cleaned_documents(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """The rows with repeated passages cut out of their text (whole characters only).
+
+    All columns stay; n_chars, if there is one, is counted anew.
+    """
+    names = docs.columns
+    found = removed_spans(docs, least, whole_characters=True).select("k1", "k2", F.col("doc_id").alias("first_id"), "spans", "kept")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), "text", F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"))
+    joined = rows.join(found.filter("size(spans) > 0 or octet_length(kept) >= %d" % least).drop("spans"), ["k1", "k2"], "left")
+    copy = (F.col("doc") > F.col("first_id")) & (F.octet_length("text") >= least)
+    cut = F.when(F.col("doc").isNull() | F.col("first_id").isNull() | F.col("text").isNull(), F.col("text")).when(copy, F.lit("")).otherwise(F.col("kept").cast("string"))
+    cleaned = joined.select("row", cut.alias("cut"))
+    columns = {n: F.col("row").getField(n) for n in names} | {"text": F.col("cut")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length("cut").cast(docs.schema["n_chars"].dataType)
+    return cleaned.select(*[c.alias(n) for n, c in columns.items()])
