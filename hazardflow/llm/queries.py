@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardflow.llm import adaptive_rules, golay, intervals, piece_codec, quality_model, token_counts, token_rows, vector_packing
+from hazardflow.llm import (
+    adaptive_rules,
+    golay,
+    intervals,
+    piece_codec,
+    pivot_index,
+    quality_model,
+    token_counts,
+    token_rows,
+    unit_dedup,
+    vector_packing,
+)
 from hazardflow.llm.common import table, tokenizer_path
 
 QUERIES = {}
@@ -70,3 +81,27 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_adaptive_rules")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_rules.judged(table(spark, sf_dir, "documents")).drop("lang", "source")
+
+
+@query("op6_unit_dedup", unit_dedup.REPORT_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op7_pivot_search",
+    """
+    WITH whole AS (
+      SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    scored AS (
+      SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+      FROM whole q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+    WHERE rank <= 5
+    """,
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return pivot_index.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
