@@ -143,7 +143,7 @@ def _search(annuli: DataFrame, wanted: DataFrame, size: int, k: int) -> DataFram
     def best(blocks: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if blocks.num_rows and asked.num_rows:
-            rows = _matrix([blocks["vectors"][0].as_py()], blocks["n"][0].as_py() * size).reshape(-1, size)
+            rows = np.frombuffer(blocks["vectors"][0].as_py(), "<i8").reshape(blocks["n"][0].as_py(), size)
             ids = blocks["ids"][0].as_py()
             vectors = asked["query"].to_pylist()
             for start in range(0, len(vectors), 512):
