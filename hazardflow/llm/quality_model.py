@@ -167,7 +167,7 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFr
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> QualityModel | None:
-    sample = written(labelled(docs, labels, rows).repartition(FIT_PARTS, "doc_id"), "fit")
+    sample = written(labelled(docs, labels, rows), "fit")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -208,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> QualityMode
         yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
     vectors = own.astype(np.float64)
-    for row in sample.select("text").mapInArrow(neighbours, "sums binary").toLocalIterator():
+    for row in sample.select("text").coalesce(FIT_PARTS).mapInArrow(neighbours, "sums binary").collect():  # one matrix a part
         vectors += np.frombuffer(row["sums"], np.float32).reshape(vectors.shape)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     vectors[0] = 0
