@@ -2,46 +2,48 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from hazardflow.operators.lookup import named
+from hazardflow.session import written
 
-def _sortable(column: str, kind: T.DataType) -> Column:
-    """A double that never falls while the column rises."""
-    c = F.col(column)
-    if isinstance(kind, T.NumericType):
-        return c.cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return c.cast("timestamp").cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(kind, T.StringType):
-        head = F.rpad(F.substring(F.hex(c), 1, 12), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    raise TypeError(f"cannot number rows by {column} of type {kind.simpleString()}")
+PART_ROWS = 1_000_000
 
 
-def _splits(edges: Sequence[float]) -> tuple[list[float], list[float]]:
-    """Bucket borders; a value that fills several buckets gets one of its own."""
-    heavy = sorted({a for a, b in zip(edges, edges[1:]) if a == b})
-    borders = set(edges) | {math.nextafter(v, math.inf) for v in heavy}
-    inner = sorted(b for b in borders if math.isfinite(b))
-    splits = [-math.inf, *inner, math.inf]
-    return splits, [float(splits.index(v)) for v in heavy]
+def _ranged(frame: DataFrame, group: Sequence[str], order: Sequence[str], parts: int | None) -> DataFrame:
+    """The rows in ranges of (group, order), each with the number of its range, written once.
 
+    Ranges follow the real types of all order columns, so common starts, heavy
+    values and NULLs of one column are told apart by the next.
+    """
+    shuffle = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or max(shuffle, -(-frame.count() // PART_ROWS))
+    ranged = frame.withColumn("_group", F.struct(*[named(c) for c in group]) if group else F.lit(0))
+    ranged = ranged.repartitionByRange(parts, "_group", *[named(c) for c in order])
+    return written(ranged.withColumn("_part", F.spark_partition_id()), "ranged")
+
+
+def running_total(
+    frame: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, name: str, parts: int | None = None
+) -> DataFrame:
+    """Add the sum of `value` over the rows of the group before and with each row.
 
-def _bucketed(frame: DataFrame, value: str, name: str, edges: Sequence[float]) -> tuple[DataFrame, list[float]]:
-    splits, heavy = _splits(edges)
-    if len(splits) < 3:
-        return frame.withColumn(name, F.lit(0.0)), heavy
-    tool = Bucketizer(splits=splits, inputCol=value, outputCol=name, handleInvalid="keep")
-    return tool.transform(frame).withColumn(name, F.coalesce(name, F.lit(-1.0))), heavy
+    Each range is summed alone; the sums of the ranges give every range its start.
+    """
+    rows = _ranged(frame.withColumn("_value", value), group, order, parts)
+    before = W.partitionBy("_group").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = rows.groupBy("_group", "_part").agg(F.sum("_value").alias("_sum"))
+    starts = starts.select(
+        F.struct("_group", "_part").alias("_range"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start")
+    )
+    inside = W.partitionBy("_range").orderBy(*[named(c) for c in order]).rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = rows.withColumn("_range", F.struct("_group", "_part")).withColumn("_sum", F.sum("_value").over(inside))
+    total = (F.col("_start") + F.col("_sum")).alias(name)
+    return summed.join(starts, "_range").select(*[named(c) for c in frame.columns], total)
 
 
 def position_in_group(
@@ -53,40 +55,12 @@ def position_in_group(
 ) -> DataFrame:
     """Add the zero-based position of each row within its group.
 
-    `order` must identify a row of the group. Quantiles of the order columns cut
-    every group into ordered buckets; the bucket sizes give each bucket its
-    offset, and only the rows of one bucket are sorted together.
+    `order` must identify a row of the group. The table is cut into ranges by
+    its size, so one task never holds a whole group.
     """
-    spark = frame.sparkSession
-    kinds = {f.name: f.dataType for f in frame.schema.fields}
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fractions = F.array(*[F.lit(i / buckets) for i in range(1, buckets)] or [F.lit(0.5)])
-    lead = list(order)[:2]
-    work = frame.select(
-        "*",
-        F.struct(*group).alias("_group"),
-        *[_sortable(c, kinds[c]).alias(f"_x{i}") for i, c in enumerate(lead)],
-    )
-    edges = work.agg(
-        *[F.percentile_approx(f"_x{i}", fractions, max(1000, 20 * buckets)) for i in range(len(lead))]
-    ).first()
-    work, heavy = _bucketed(work, "_x0", "_b0", edges[0] or [])
-    keys = ["_group", "_b0"]
-    if heavy and len(lead) > 1:
-        work, _ = _bucketed(work, "_x1", "_b1", edges[1] or [])
-        work = work.withColumn("_b1", F.when(F.col("_b0").isin(heavy), F.col("_b1")).otherwise(0.0))
-        keys.append("_b1")
-
-    before = W.partitionBy("_group").orderBy(*keys[1:]).rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        work.groupBy(*keys)
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
-    inside = W.partitionBy(*keys).orderBy(*order)
-    ranked = work.withColumn("_rank", F.row_number().over(inside) - 1)
-    return ranked.join(offsets, keys).select(*frame.columns, (F.col("_rank") + F.col("_offset")).alias(name))
+    one = F.lit(1).cast("bigint")
+    placed = running_total(frame, group, order, one, "_position", buckets)
+    return placed.withColumn(name, F.col("_position") - 1).drop("_position")
 
 
 def batch_index(frame: DataFrame, batch: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -94,5 +68,5 @@ def batch_index(frame: DataFrame, batch: Sequence[str], order: Sequence[str]) ->
 
 
 def write_batch(frame: DataFrame, key: Sequence[str], order: Sequence[str], size: int = 1000) -> DataFrame:
-    placed = position_in_group(frame, key, order, "_position")
-    return placed.withColumn("write_batch", F.floor(F.col("_position") / size)).drop("_position")
+    placed = position_in_group(frame, key, order, "_batch_position")
+    return placed.withColumn("write_batch", F.floor(F.col("_batch_position") / size)).drop("_batch_position")

@@ -43,8 +43,8 @@ def exact_quantiles(
     time are at most `held_values`, a plain aggregate holds them. Else a
     mergeable sketch brackets each quantile; a second scan counts the values
     outside the brackets and sorts only the few inside them. The result is
-    exact: a rank outside its bracket raises an error rather than giving a near
-    value. Where a bracket may hold more than `one_task` values, it is cut into
+    exact: if a rank lies outside its bracket, the scan is repeated with the
+    whole range as bracket. All ways give equal values. Where a bracket may hold more than `one_task` values, it is cut into
     bins first and only the bins with a wanted rank are sorted. The frame is read
     up to three times: give a table, not a long plan.
     """
@@ -59,7 +59,41 @@ def exact_quantiles(
     if largest * min(size.groups, OPEN_GROUPS) * len(columns) <= held_values:
         return _held(numbers, columns, fractions, key)
     bounds = written(_brackets(numbers, columns, fractions, key, accuracy, small_group), "brackets")
+    group = key + ["item", "n"]
+    ranks = [(F.col("n") - 1) * F.lit(float(f)) for f in fractions]
+    near, wide = _slack(accuracy)
+    held = max(small_group, 2 * wide * min(largest, MIDDLE_GROUP), 2 * near * largest)
+    found = written(_found(numbers, bounds, key, columns, fractions, held <= one_task), "found")
+    missed = [F.col(f"{end}{j}").isNull() | F.isnan(f"{end}{j}") for end in "ab" for j in range(len(fractions))]
+    if found.where(reduce(lambda x, y: x | y, missed)).limit(1).count():
+        # a rank outside its approximate bracket: once more between the least and the greatest value
+        whole = written(_brackets(numbers, columns, fractions, key, accuracy, None), "brackets")
+        found = _found(numbers, whole, key, columns, fractions, False)
+    names = F.array(*[F.lit(c) for c in columns])
+    values = [
+        F.struct(F.lit(float(f)).alias("fraction"), _between(F.col(f"a{j}"), F.col(f"b{j}"), ranks[j]).alias("value"))
+        for j, f in enumerate(fractions)
+    ]
+    order = [*key, "column", "fraction", "n", "value"]
+    results = found.select(*key, names[F.col("item")].alias("column"), "n", F.inline(F.array(*values))).select(*order)
+    without_values = (
+        bounds.select(*key, F.posexplode("_brackets").alias("item", "bracket"))
+        .where("bracket.n = 0")
+        .select(
+            *key,
+            names[F.col("item")].alias("column"),
+            F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction"),
+            F.lit(0).cast("bigint").alias("n"),
+            F.lit(None).cast("double").alias("value"),
+        )
+    )
+    return results.unionByName(without_values)
+
 
+def _found(
+    numbers: DataFrame, bounds: DataFrame, key: list[str], columns: list[str], fractions: list[float], one_sort: bool
+) -> DataFrame:
+    """Per key and item the values at the ranks below (a) and above (b) each quantile; NaN or NULL outside its bracket."""
     group = key + ["item", "n"]
     bracket = F.col("_brackets")[F.col("item")]
     counted = (
@@ -70,9 +104,7 @@ def exact_quantiles(
         .groupBy(*group, "zone", "value")
         .agg(F.count("*").alias("copies"))
     )
-    near, wide = _slack(accuracy)
-    held = max(small_group, 2 * wide * min(largest, MIDDLE_GROUP), 2 * near * largest)
-    if held <= one_task:
+    if one_sort:
         ordered = W.partitionBy(*group).orderBy("zone", "value").rowsBetween(W.unboundedPreceding, W.currentRow)
         running = counted.withColumn("seen", F.sum("copies").over(ordered))
     else:
@@ -82,29 +114,10 @@ def exact_quantiles(
         return F.min_by("value", F.when(F.col("seen") > rank, F.col("seen")))
 
     ranks = [(F.col("n") - 1) * F.lit(float(f)) for f in fractions]
-    found = running.groupBy(*group).agg(
+    return running.groupBy(*group).agg(
         *[at(F.floor(r)).alias(f"a{j}") for j, r in enumerate(ranks)],
         *[at(F.ceil(r)).alias(f"b{j}") for j, r in enumerate(ranks)],
     )
-    names = F.array(*[F.lit(c) for c in columns])
-    values = [
-        F.struct(F.lit(float(f)).alias("fraction"), _between(F.col(f"a{j}"), F.col(f"b{j}"), ranks[j]).alias("value"))
-        for j, f in enumerate(fractions)
-    ]
-    order = [*key, "column", "fraction", "n", "value"]
-    results = found.select(*key, names[F.col("item")].alias("column"), "n", F.inline(F.array(*values))).select(*order)
-    without_values = (
-        bounds.select(*key, F.posexplode("_brackets").alias("item", "bracket"))
-        .where("bracket.n = 0")
-        .select(
-            *key,
-            names[F.col("item")].alias("column"),
-            F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction"),
-            F.lit(0).cast("bigint").alias("n"),
-            F.lit(None).cast("double").alias("value"),
-        )
-    )
-    return results.unionByName(without_values)
 
 
 def _slack(accuracy: int) -> tuple[float, float]:
@@ -132,7 +145,7 @@ def _held(numbers: DataFrame, columns: list[str], fractions: list[float], key: l
 
 
 def _brackets(
-    numbers: DataFrame, columns: list[str], fractions: list[float], key: list[str], accuracy: int, small_group: int
+    numbers: DataFrame, columns: list[str], fractions: list[float], key: list[str], accuracy: int, small_group: int | None
 ) -> DataFrame:
     """Per key an array over the columns: count, lower and upper ends of each quantile's bracket."""
     count = len(fractions)
@@ -156,6 +169,8 @@ def _brackets(
         def end(extreme: str, part: int) -> Column:
             near, wide = (F.slice(m["probe"], start * count + 1, count) for start in (part, part + 2))
             small = F.array_repeat(m[extreme], count)
+            if small_group is None:
+                return small
             return F.when(m["n"] <= small_group, small).when(m["n"] <= MIDDLE_GROUP, wide).otherwise(near)
 
         return F.struct(m["n"].alias("n"), end("least", 0).alias("lo"), end("most", 1).alias("hi"))
@@ -172,12 +187,19 @@ def _zone(bracket: Column, value: Column, count: int) -> tuple[Column, Column]:
 
 def _running_near_ranks(counted: DataFrame, group: list[str], fractions: list[float]) -> DataFrame:
     """Running counts of the values in those bins of each bracket that hold a wanted rank."""
+    finite = F.when(F.abs("value") < float("inf"), F.col("value"))
     ends = counted.groupBy(*group, "zone").agg(
-        F.min("value").alias("first"), F.max(no_nan(F.col("value"))).alias("final")
+        F.min(finite).alias("first"), F.max(finite).alias("final")
     )
     width = F.col("final") - F.col("first")
     part = F.when(width > 0, (F.col("value") - F.col("first")) / width).otherwise(0.0)
-    place = F.when(F.isnan("value"), BINS).otherwise(F.least(F.floor(part * BINS), F.lit(BINS - 1)))
+    inner = 1 + F.least(F.floor(part * BINS), F.lit(BINS - 1))  # infinite values have bins of their own
+    place = (
+        F.when(F.isnan("value"), BINS + 2)
+        .when(F.col("value") == float("-inf"), 0)
+        .when(F.col("value") == float("inf"), BINS + 1)
+        .otherwise(inner)
+    )
     binned = attach_written(counted, written(ends, "ends"), group + ["zone"]).withColumn("bin", place.cast("int"))
 
     sums = binned.groupBy(*group, "zone", "bin").agg(F.sum("copies").alias("inside"))
@@ -195,14 +217,9 @@ def _running_near_ranks(counted: DataFrame, group: list[str], fractions: list[fl
 
 
 def _between(a: Column, b: Column, rank: Column) -> Column:
-    """Interpolate between the values at the ranks below and above."""
-    outside = F.isnan(a) | F.isnan(b) | a.isNull() | b.isNull()
-    text = F.lit("quantile outside its bracket: raise the accuracy")
-    return (
-        F.when(outside, F.raise_error(text).cast("double"))
-        .when(a == b, a)
-        .otherwise(a + (b - a) * (rank - F.floor(rank)))
-    )
+    """Interpolate between the values at the ranks below and above, with infinite ends as `percentile` has them."""
+    part = rank - F.floor(rank)
+    return F.when((a == b) | (part == 0), a).otherwise(a * (1 - part) + b * part)
 
 
 def medians(frame: DataFrame, columns: Sequence[str], key: Sequence[str] = (), **options) -> DataFrame:

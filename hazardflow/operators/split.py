@@ -2,45 +2,43 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from fractions import Fraction
-from itertools import accumulate
+from math import ceil
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hazardflow.operators.lookup import attach_written
+from hazardflow.operators.numbering import position_in_group, running_total
 from hazardflow.session import written
 
-MAX_CLASSES = 10_000
 
+def test_sizes(classes: DataFrame, test: float) -> DataFrame:
+    """Add `test_rows` to a table of classes (_class, n): ceil(test x all) in all, shared by largest remainder."""
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    train = total - ceil(Fraction(str(test)) * total)
+    whole = F.expr(f"cast(n as decimal(19, 0)) * cast({train} as decimal(19, 0))")
+    size = F.lit(max(total, 1)).cast("decimal(19, 0)")
+    shares = classes.withColumns({"_rest": whole % size, "_kept": F.floor((whole - whole % size) / size).cast("bigint")})
+    shares = written(shares.withColumn("_less", -F.col("_rest")), "shares")
+    more = train - (shares.agg(F.sum("_kept")).first()[0] or 0)
+    placed = position_in_group(shares, [], ["_less", "_class"], "_turn")
+    kept = F.col("_kept") + (F.col("_turn") < more).cast("bigint")
+    return placed.select("_class", "n", (F.col("n") - kept).alias("test_rows"))
 
-def test_sizes(counts: Sequence[int], test: float) -> list[int]:
-    """Test rows per class: ceil(test x n) in all, shared by largest remainder."""
-    total = sum(counts)
-    train = total - math.ceil(Fraction(str(test)) * total)
-    shares = [Fraction(c * train, total) for c in counts]
-    kept = [int(s) for s in shares]
-    order = sorted(range(len(counts)), key=lambda i: (kept[i] - shares[i], i))
-    for i in order[: train - sum(kept)]:
-        kept[i] += 1
-    return [c - k for c, k in zip(counts, kept)]
 
+def fold_sizes(classes: DataFrame, k: int) -> DataFrame:
+    """Add `fold_rows` (k numbers) to a table of classes: the rows, sorted by class, are dealt in turn."""
+    placed = running_total(classes, [], ["_class"], F.col("n"), "_end")
 
-def fold_sizes(counts: Sequence[int], k: int) -> list[list[int]]:
-    """Rows per class and fold when the rows, sorted by class, are dealt in turn."""
-    sizes, start = [], 0
-    for c in counts:
-        end = start + c
-        sizes.append([(end - 1 - i) // k - (start - 1 - i) // k for i in range(k)])
-        start = end
-    return sizes
+    def dealt(stop: Column, fold: int) -> Column:
+        """Rows of the fold among the first `stop`."""
+        return F.floor((stop - 1 - fold - F.pmod(stop - 1 - fold, F.lit(k))) / k).cast("bigint") + 1
 
-
-def _targets(parts: Sequence[int]) -> list[int]:
-    """Rank of the last row of every part but the final one."""
-    return list(accumulate(parts[:-1]))
+    end = F.col("_end")
+    return placed.select("_class", "n", F.array(*[dealt(end, i) - dealt(end - F.col("n"), i) for i in range(k)]).alias("fold_rows"))
 
 
 def _hashed(frame: DataFrame, label: str, key: str, seed: int) -> DataFrame:
@@ -51,21 +49,13 @@ def _hashed(frame: DataFrame, label: str, key: str, seed: int) -> DataFrame:
     ).withColumn("bucket", F.shiftright("hash", 48))
 
 
-def _class_counts(histogram: DataFrame, label: str) -> list[tuple[object, int]]:
-    """Rows per class in class order, read to the driver under a checked bound."""
-    totals = histogram.groupBy("_class").agg(F.sum("n").alias("n")).orderBy("_class")
-    rows = totals.limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} values: not a class column")
-    return [(r["_class"]["value"], r["n"]) for r in rows]
-
-
 def _by_hash_rank(
     frame: DataFrame,
     label: str,
     key: str,
     seed: int,
-    allot: Callable[[list[int]], list[list[int]]],
+    parts: Callable[[DataFrame], DataFrame],
+    cuts: int,
     name: str,
 ) -> DataFrame:
     """Number the parts of each class, taken in the order of a seeded hash.
@@ -73,50 +63,40 @@ def _by_hash_rank(
     A histogram of the hash per class gives the class sizes and the bucket that
     holds each cut. Only the rows of those buckets are sorted; all rows are then
     placed by comparing their hash with the cuts of their class, without a
-    shuffle. The frame is read three times: give a table, not a long plan.
+    shuffle. `parts` gives _class and `_targets`, the ranks of the last rows of all
+    parts but the final one. The frame is read three times: give a table, not a
+    long plan. The number of classes is not bounded; small tables are broadcast
+    by their size.
     """
-    spark = frame.sparkSession
-    kind = frame.schema[label].dataType.simpleString()
     hashed = _hashed(frame, label, key, seed)
     histogram = written(hashed.groupBy("_class", "bucket").agg(F.count("*").alias("n")), "histogram")
-    counts = _class_counts(histogram, label)
-    sizes = list(zip([value for value, _ in counts], allot([n for _, n in counts])))
-    cuts = [(value, part, target) for value, parts in sizes for part, target in enumerate(_targets(parts))]
-    wanted = spark.createDataFrame(cuts, f"value {kind}, part int, target bigint").select(
-        F.struct("value").alias("_class"), "part", "target"
-    )
+    classes = written(histogram.groupBy("_class").agg(F.sum("n").alias("n")), "classes")
+    targets = written(parts(classes).select("_class", "_targets"), "targets")
+    wanted = targets.select("_class", F.posexplode("_targets").alias("part", "target"))
     running = W.partitionBy("_class").orderBy("bucket")
     reached = F.sum("n").over(running.rowsBetween(W.unboundedPreceding, W.currentRow))
     located = written(
         histogram.withColumn("end", reached)
         .withColumn("start", F.col("end") - F.col("n"))
-        .join(F.broadcast(wanted), "_class")
+        .join(wanted, "_class")
         .where((F.col("target") > F.col("start")) & (F.col("target") <= F.col("end")))
         .select("_class", "part", "bucket", (F.col("target") - F.col("start")).alias("rank")),
         "located",
     )
     in_bucket = W.partitionBy("_class", "bucket").orderBy("hash", "key")
     last = (
-        hashed.join(F.broadcast(located.select("_class", "bucket")), ["_class", "bucket"], "left_semi")
+        hashed.join(located.select("_class", "bucket").distinct(), ["_class", "bucket"], "left_semi")
         .withColumn("rank", F.row_number().over(in_bucket).cast("bigint"))
-        .join(F.broadcast(located), ["_class", "bucket", "rank"])
+        .join(located, ["_class", "bucket", "rank"])
         .groupBy("_class")
         .agg(F.collect_list(F.struct("hash", "key")).alias("_cuts"))
     )
-    at_zero = [(value, _targets(parts).count(0)) for value, parts in sizes]
-    classes = spark.createDataFrame(at_zero, f"value {kind}, _empty int").select(
-        F.struct("value").alias("_class"), "_empty"
-    )
-    table = classes.join(F.broadcast(written(last, "last")), "_class", "left")
+    none = F.size(F.filter("_targets", lambda t: t == 0))
+    table = written(targets.select("_class", none.alias("_empty")).join(last, "_class", "left"), "cuts")
     own = F.struct(F.xxhash64(F.lit(seed), F.col(key)).alias("hash"), F.col(key).alias("key"))
-    most = max((len(parts) - 1 for _, parts in sizes), default=0)
-    passed = sum((F.coalesce((F.get("_cuts", F.lit(i)) < own).cast("int"), F.lit(0)) for i in range(most)), F.lit(0))
-    return (
-        frame.withColumn("_class", F.struct(F.col(label).alias("value")))
-        .join(F.broadcast(table), "_class", "left")
-        .withColumn(name, (F.col("_empty") + passed).cast("int"))
-        .drop("_class", "_cuts", "_empty")
-    )
+    placed = attach_written(frame.withColumn("_class", F.struct(F.col(label).alias("value"))), table, ["_class"])
+    passed = sum((F.coalesce((F.get("_cuts", F.lit(i)) < own).cast("int"), F.lit(0)) for i in range(cuts)), F.lit(0))
+    return placed.withColumn(name, (F.col("_empty") + passed).cast("int")).drop("_class", "_cuts", "_empty")
 
 
 def stratified_split(
@@ -127,10 +107,10 @@ def stratified_split(
     `key` must identify a row; rows that share a key stay on one side.
     """
 
-    def allot(counts: list[int]) -> list[list[int]]:
-        return [[t, n - t] for n, t in zip(counts, test_sizes(counts, test))]
+    def parts(classes: DataFrame) -> DataFrame:
+        return test_sizes(classes, test).withColumn("_targets", F.array("test_rows"))
 
-    placed = _by_hash_rank(frame, label, key, seed, allot, "_part")
+    placed = _by_hash_rank(frame, label, key, seed, parts, 1, "_part")
     return placed.withColumn(name, F.col("_part") == 0).drop("_part")
 
 
@@ -138,4 +118,9 @@ def stratified_folds(
     frame: DataFrame, label: str, key: str, k: int = 5, seed: int = 42, name: str = "fold"
 ) -> DataFrame:
     """Add the fold number 0..k-1, balanced within every class and overall."""
-    return _by_hash_rank(frame, label, key, seed, lambda counts: fold_sizes(counts, k), name)
+
+    def parts(classes: DataFrame) -> DataFrame:
+        sums = [sum((F.get("fold_rows", F.lit(j)) for j in range(1, i + 1)), F.get("fold_rows", F.lit(0))) for i in range(k - 1)]
+        return fold_sizes(classes, k).withColumn("_targets", F.array(*sums).cast("array<bigint>"))
+
+    return _by_hash_rank(frame, label, key, seed, parts, k - 1, name)

@@ -4,11 +4,9 @@ from collections import Counter, defaultdict
 from math import ceil
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from hazardflow.operators import split
+from hazardflow.operators import numbering, split
 from hazardflow.operators.lookup import attach
 from hazardflow.operators.numbering import batch_index, position_in_group, write_batch
 
@@ -47,23 +45,27 @@ def test_batch_index_and_write_batch(spark):
     assert sizes == {0: 1000, 1: 1000, 2: 500}
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(1, 500), min_size=1, max_size=6), st.sampled_from([0.1, 0.2, 0.25, 0.5]))
-def test_split_sizes(counts, test):
-    sizes = split.test_sizes(counts, test)
-    assert sum(sizes) == ceil(round(test * sum(counts), 9))
-    for n, t in zip(counts, sizes):
-        assert abs(t - test * n) < 2 and 0 <= t <= n
+def classes_of(spark, counts):
+    return spark.createDataFrame([((i,), n) for i, n in enumerate(counts)], "_class struct<value: int>, n long")
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(1, 60), min_size=1, max_size=6), st.integers(2, 7))
-def test_fold_sizes(counts, k):
+@pytest.mark.parametrize("test", [0.1, 0.2, 0.25, 0.5])
+@pytest.mark.parametrize("counts", [[1], [1, 2, 3, 4, 990], [7] * 30, [500, 1, 499, 3]])
+def test_split_sizes(spark, counts, test):
+    rows = split.test_sizes(classes_of(spark, counts), test).collect()
+    assert sum(r.test_rows for r in rows) == ceil(round(test * sum(counts), 9))
+    for r in rows:
+        assert abs(r.test_rows - test * r.n) < 2 and 0 <= r.test_rows <= r.n
+
+
+@pytest.mark.parametrize("counts, k", [([1], 2), ([5, 1, 9, 2], 3), ([60, 59, 58], 7), ([2, 2, 2, 2], 5)])
+def test_fold_sizes(spark, counts, k):
     """The same as dealing the sorted rows in turn."""
     dealt = [[0] * k for _ in counts]
     for row, c in enumerate(c for c, n in enumerate(counts) for _ in range(n)):
         dealt[c][row % k] += 1
-    assert split.fold_sizes(counts, k) == dealt
+    rows = split.fold_sizes(classes_of(spark, counts), k).collect()
+    assert [r.fold_rows for r in sorted(rows, key=lambda r: r._class)] == dealt
 
 
 def test_split_counts_and_stability(spark):
@@ -98,13 +100,30 @@ def test_null_label_rows_are_kept(spark):
     assert out.count() == 20 and out.where("is_test IS NULL").count() == 0
 
 
-def test_too_many_classes(spark, monkeypatch):
-    monkeypatch.setattr(split, "MAX_CLASSES", 3)
-    with pytest.raises(ValueError):
-        split.stratified_split(spark.range(10), "id", "id")
+def test_many_classes(spark):
+    frame = spark.range(20_600).select("id", (F.col("id") % 10_300).alias("c"))
+    out = split.stratified_split(frame, "c", "id")
+    assert out.count() == 20_600 and out.where("is_test").count() == 4120
+    assert out.where("is_test").groupBy("c").count().agg(F.max("count")).first()[0] == 1
+
+
+def test_positions_by_names_with_a_common_start(spark):
+    frame = spark.range(20_000).select(F.format_string("sensor-%010d", F.col("id") * 7919 % 20_000).alias("n"), F.lit(None).cast("string").alias("z"))
+    out = position_in_group(frame, [], ["z", "n"], buckets=16)
+    assert out.where("position <> cast(substring(n, 8) as long)").count() == 0
+    sizes = [r["count"] for r in numbering._ranged(frame, [], ["z", "n"], 16).groupBy("_part").count().collect()]
+    assert max(sizes) < 2 * 20_000 / 16
+
+
+def test_attach_with_maps_and_dots(spark):
+    frame = spark.createDataFrame([(1, {"a": 1}, 2.0), (2, {}, 3.0)], "k int, m map<string, int>, `t.max` double")
+    stats = spark.createDataFrame([(1, {"x": "y"}, 5)], "k int, s map<string, string>, `v.w` int")
+    for limit in (0, 1 << 20):
+        rows = {r["k"]: (r["t.max"], r["v.w"]) for r in attach(frame, stats, ["k"], limit=limit, salts=3).collect()}
+        assert rows == {1: (2.0, 5), 2: (3.0, None)}
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
+@pytest.mark.parametrize("limit", [0, 1 << 20])
 def test_attach_keeps_every_row(spark, limit):
     """limit=0 takes the salted path. NULL keys meet NULL keys, lone keys get NULL."""
     frame = spark.createDataFrame([(None, 1), ("hot", 2), ("hot", 3), ("hot", 3), ("lone", 4)], "g string, x int")

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from hazardflow.operators import quantiles
 from hazardflow.operators.quantiles import exact_mode, exact_quantiles, medians
 
 
@@ -57,3 +58,28 @@ def test_mode_ties_take_the_smallest_and_nulls_do_not_vote(spark):
         [("a", 2), ("a", 2), ("a", 1), ("a", 1), ("a", None), ("a", None), ("a", None), ("b", None)], "g string, x int"
     )
     assert {r.g: r.x for r in exact_mode(frame, "x", ["g"]).collect()} == {"a": 1, "b": None}
+
+
+@pytest.mark.parametrize("options", [{}, {"held_values": 0}, {"held_values": 0, "one_task": 0}, {"held_values": 0, "small_group": 0}, {"held_values": 0, "small_group": 0, "one_task": 0}])
+def test_infinite_ends(spark, options):
+    inf = float("inf")
+    data = {"low": [-inf, -inf, 1, 2], "high": [1, 2, inf, inf], "all": [inf] * 3, "mid": [-inf, 1, 3, inf]}
+    got = {r.g: r.x for r in medians(rows_of(spark, data), ["x"], ["g"], **options).collect()}
+    assert got == {"low": -inf, "high": inf, "all": inf, "mid": 2.0}
+
+
+def test_a_missed_bracket_is_widened(spark, monkeypatch):
+    """Brackets that hold nothing: the second round finds every rank."""
+    whole = quantiles._brackets
+
+    def wrong(numbers, columns, fractions, key, accuracy, small_group):
+        out = whole(numbers, columns, fractions, key, accuracy, small_group)
+        if small_group is None:
+            return out
+        far = F.transform("_brackets", lambda b: F.struct(b["n"].alias("n"), F.transform(b["lo"], lambda x: x - 1e6).alias("lo"), F.transform(b["hi"], lambda x: x - 1e6).alias("hi")))
+        return out.withColumn("_brackets", far)
+
+    monkeypatch.setattr(quantiles, "_brackets", wrong)
+    frame = rows_of(spark, {"a": list(range(101)), "b": [1, 2]})
+    got = {r.g: r.x for r in medians(frame, ["x"], ["g"], held_values=0).collect()}
+    assert got == {"a": 50.0, "b": 1.5}
