@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,10 +37,13 @@ def promote(decided: DataFrame) -> DataFrame:
     )
 
 
-def append_run(spark: SparkSession, path: str, row: tuple) -> None:
-    """Add one row to model_runs, in a folder of its own so that a repeat replaces it."""
+def append_run(spark: SparkSession, path: str, row: tuple, run_id: str | None = None) -> None:
+    """Add one row to model_runs.
+
+    The same run_id replaces its earlier row; without one the row is always added.
+    """
     run = spark.createDataFrame([row], MODEL_RUNS_SCHEMA)
-    run.coalesce(1).write.mode("overwrite").parquet(f"{path}/run={row[0]:%Y%m%d_%H%M%S}")
+    run.coalesce(1).write.mode("overwrite").parquet(f"{path}/run={run_id or uuid.uuid4().hex}")
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:

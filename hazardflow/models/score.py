@@ -15,7 +15,8 @@ from hazardflow.functions.scalar import (
     predicted_probability,
     risk_level,
 )
-from hazardflow.schema import RISK_LEVELS
+from hazardflow.models.train import features_of, missing_fields
+from hazardflow.schema import FEATURES, RISK_LEVELS
 
 
 def score(
@@ -28,15 +29,19 @@ def score(
 ) -> DataFrame:
     """Prediction, probability, risk level and confidence per row; lazy and shuffle-free.
 
-    The risk level follows the probability of the predicted class, or with
+    Every row comes back: one without all features has NULL results and is told by
+    `rejects`. The risk level follows the probability of the predicted class, or with
     `hazard_classes` the summed probability of those classes.
     """
-    out = model.transform(frame)
+    keeping = model.copy()
+    keeping.stages[0].setHandleInvalid("keep")
+    known = F.size(missing_fields(features_of(model))) == 0
+    out = keeping.transform(frame)
     vector, code = F.col("probability"), F.col("prediction")
     p = hazard_probability(vector, hazard_classes) if hazard_classes else predicted_probability(vector, code)
     return (
-        out.withColumn("_p", p)
-        .withColumn("prediction", code.cast("int"))
+        out.withColumn("_p", F.when(known, p))
+        .withColumn("prediction", F.when(known, code.cast("int")))
         .withColumns(
             {
                 "probability": F.round("_p", 4),
@@ -50,6 +55,11 @@ def score(
     )
 
 
+def rejects(scored: DataFrame, features: Sequence[str] = tuple(FEATURES)) -> DataFrame:
+    """The rows that could not be scored, with the names of their missing fields."""
+    return scored.withColumn("missing_fields", missing_fields(features)).where("prediction IS NULL")
+
+
 def risk_of(level: str) -> Column:
     """Test for a risk band; Critical is the old name of Intense."""
     return F.col("risk_level").isin("Intense", "Critical") if level == "Intense" else F.col("risk_level") == level

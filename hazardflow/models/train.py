@@ -16,7 +16,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardflow.operators.lookup import attach
@@ -45,6 +45,22 @@ def _classifier(kind: str, label: str, weight: str | None, seed: int, params: Ma
     raise ValueError(f"unknown model kind {kind}")
 
 
+def missing_fields(features: Sequence[str] = tuple(FEATURES)) -> Column:
+    """Names of the features that are NULL or NaN."""
+    gone = [F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), F.lit(c)) for c in features]
+    return F.array_compact(F.array(*gone))
+
+
+def split_complete(frame: DataFrame, features: Sequence[str] = tuple(FEATURES)) -> tuple[DataFrame, DataFrame]:
+    """Rows with all features, and the others with `missing_fields`."""
+    missing = missing_fields(features)
+    return frame.where(F.size(missing) == 0), frame.withColumn("missing_fields", missing).where(F.size("missing_fields") > 0)
+
+
+def features_of(model: PipelineModel) -> list[str]:
+    return list(model.stages[0].getInputCols())
+
+
 def pipeline(
     kind: str,
     features: Sequence[str] = tuple(FEATURES),
@@ -56,9 +72,10 @@ def pipeline(
     """Assemble, scale and classify; the scaler is fitted with the model.
 
     kind is forest, svm (linear, one against rest), boosting (one against rest)
-    or logistic.
+    or logistic. Rows without a feature are an error here: `split_complete` tells
+    them apart, so that none vanishes uncounted.
     """
-    assemble = VectorAssembler(inputCols=list(features), outputCol="raw_features", handleInvalid="skip")
+    assemble = VectorAssembler(inputCols=list(features), outputCol="raw_features", handleInvalid="error")
     scale = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
     return Pipeline(stages=[assemble, scale, _classifier(kind, label, weight, seed, params)])
 
@@ -85,8 +102,10 @@ def add_class_weights(frame: DataFrame, label: str = TARGET, name: str = "weight
 
 
 def accuracy_of(model: PipelineModel, frame: DataFrame, label: str = TARGET) -> DataFrame:
+    """Accuracy over the rows with all features."""
     hit = (F.col(label) == F.col("prediction")).cast("double")
-    return model.transform(frame).agg(F.avg(hit).alias("accuracy"))
+    complete, _ = split_complete(frame, features_of(model))
+    return model.transform(complete).agg(F.avg(hit).alias("accuracy"))
 
 
 def cross_validate(estimator: Pipeline, frame: DataFrame, fold: str, k: int, label: str = TARGET) -> DataFrame:
@@ -136,26 +155,22 @@ def top_features(ranked: DataFrame, k: int) -> DataFrame:
     return ranked.orderBy(F.desc("importance"), "feature").limit(k)
 
 
-def vote(predictions: DataFrame, columns: Sequence[str], how: str = "hard", classes: int = 4) -> DataFrame:
-    """Ensemble prediction from one column per candidate.
+def vote(predictions: DataFrame, columns: Sequence[str], how: str = "hard") -> DataFrame:
+    """Ensemble prediction from one column per candidate, whatever the class codes.
 
-    hard: most frequent class, the smallest on ties, from predicted classes.
-    soft: class with the highest mean probability, from probability vectors.
+    hard: most frequent class, the smallest on ties, from predicted classes; NULL
+    is no ballot. soft: class with the highest mean probability, the smallest on
+    ties, from probability vectors of equal length.
     """
     if how == "hard":
-        ballots = [
-            F.struct(sum(((F.col(c) == i).cast("int") for c in columns), F.lit(0)).alias("votes"), F.lit(-i).alias("code"))
-            for i in range(classes)
-        ]
-    else:
-        ballots = [
-            F.struct(
-                (sum((F.element_at(vector_to_array(F.col(c)), i + 1) for c in columns), F.lit(0.0)) / len(columns)).alias("votes"),
-                F.lit(-i).alias("code"),
-            )
-            for i in range(classes)
-        ]
-    return predictions.withColumn("prediction", -F.greatest(*ballots)["code"])
+        ballots = F.array_compact(F.array(*[F.col(c).cast("int") for c in columns]))
+        counted = F.transform(
+            F.array_distinct(ballots),
+            lambda code: F.struct((-F.size(F.filter(ballots, lambda b: b == code))).alias("rank"), code.alias("code")),
+        )
+        return predictions.withColumn("prediction", F.array_min(counted)["code"])
+    sums = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), [vector_to_array(F.col(c)) for c in columns])
+    return predictions.withColumn("prediction", (F.array_position(sums, F.array_max(sums)) - 1).cast("int"))
 
 
 def feedback_labels(feedback: DataFrame) -> DataFrame:
@@ -168,8 +183,8 @@ def agreement(feedback: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def evaluate(model: PipelineModel, frame: DataFrame, label: str = TARGET) -> tuple[float, float]:
-    """Accuracy and weighted F1 of a test table."""
-    predicted = model.transform(frame).select(label, "prediction")
+    """Accuracy and weighted F1 over the rows with all features of a test table."""
+    predicted = model.transform(split_complete(frame, features_of(model))[0]).select(label, "prediction")
     pairs = predicted.groupBy(label, "prediction").agg(F.count("*").alias("n"))
     hits = F.sum(F.when(F.col(label) == F.col("prediction"), F.col("n")).otherwise(0))
     score = pairs.agg((hits / F.sum("n")).alias("accuracy")).first()["accuracy"]

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardflow.functions.scalar import stamp
 from hazardflow.models import registry, score, train
 from hazardflow.operators import clean, quality, relate, split
 from hazardflow.operators.lookup import attach
@@ -68,16 +68,21 @@ def retrain(
     run_ts,
     key: str,
     features: Sequence[str] = tuple(FEATURES),
+    run_id: str | None = None,
     **forest,
 ) -> DataFrame:
     """Join base rows and corrected feedback, train, compare with the current model, record the run.
 
     `base` has the features, the target and a row key; `feedback` has the
-    features, the key and `corrected_class`. Gives the recorded run.
+    features, the key and `corrected_class`. Rows without all features or the
+    target are written to `model_path`/skipped. Gives the recorded run; a repeat
+    with the same run_id replaces it.
     """
     labelled = train.feedback_labels(feedback).withColumnRenamed("target", TARGET)
     names = [key, *features, TARGET]
-    rows = written(relate.union_all(base.select(*names), labelled.select(*names)), "training")
+    every = written(relate.union_all(base.select(*names), labelled.select(*names)), "every")
+    rows, skipped = train.split_complete(every, [*features, TARGET])
+    skipped.write.mode("overwrite").parquet(f"{model_path}/skipped")
     parts = written(split.stratified_split(rows, TARGET, key), "split")
     fit, test = parts.where("NOT is_test"), parts.where("is_test")
     settings = {**train.RETRAIN_FOREST, **forest}
@@ -94,20 +99,31 @@ def retrain(
     measured = spark.createDataFrame([(accuracy,)], "accuracy double")
     decided = registry.promote(registry.gate(measured, current)).first()
     run = (run_ts, model_path, accuracy, f1, fit.count(), test.count(), decided.deploy, decided.improvement, decided.status)
-    registry.append_run(spark, runs_path, run)
-    return registry.read_runs(spark, runs_path).where(F.col("run_ts") == F.lit(run_ts).cast("timestamp"))
+    run_id = run_id or uuid.uuid4().hex
+    registry.append_run(spark, runs_path, run, run_id)
+    return registry.read_runs(spark, f"{runs_path}/run={run_id}")
 
 
 def score_batch(
-    spark: SparkSession, model_path: str, frame: DataFrame, log: str, now: str, order: Sequence[str], version: str = "v1.0.0"
+    spark: SparkSession,
+    model_path: str,
+    frame: DataFrame,
+    log: str,
+    now: str,
+    order: Sequence[str],
+    version: str = "v1.0.0",
+    batch_id: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Score the rows inside the bounds, add them to the prediction log, summarise the batch.
 
-    Gives the summary and the rejected rows with the names of the bad fields.
+    Gives the summary and the rejected rows with the names of the bad fields
+    (out of bounds, NULL or NaN). The same batch_id replaces its rows in the log;
+    without one the batch is always added.
     """
-    good, rejected = quality.split_valid(range_check(frame))
     model, _ = train.load_model(model_path)
-    scored = written(score.score(model, good, ts=now, version=version), "scored")
-    run_id = spark.range(1).select(stamp(F.lit(now).cast("timestamp"))).first()[0]
-    writers.append_predictions(scored, log, "batch", run_id, ts=now, order=order)
+    good, out = quality.split_valid(range_check(frame))
+    complete, missing = train.split_complete(good, train.features_of(model))
+    rejected = out.unionByName(missing.withColumnRenamed("missing_fields", "violations"))
+    scored = written(score.score(model, complete, ts=now, version=version), "scored")
+    writers.append_predictions(scored, log, "batch", batch_id or uuid.uuid4().hex, ts=now, order=order)
     return score.batch_summary(scored, ts=now), rejected

@@ -15,6 +15,7 @@ from hazardflow.plans.score_queries import SENSOR_CTE
 from hazardflow.plans.views import sensor
 from hazardflow.schema import FEATURES, TARGET
 from hazardflow.session import scratch_path, written
+from hazardflow.sources import writers
 from hazardflow.streaming import streams
 
 # Settings of the registered queries; the library defaults are in models/train.py.
@@ -73,8 +74,74 @@ def compare_models(spark, sf):
 
 
 def _scored(spark, sf):
-    fit, _ = _parts(spark, sf)
-    return score.score(_forest(fit), sensor(spark, sf), ts="2024-02-01 00:00:00")
+    rows = written(sensor(spark, sf), "sensor")
+    table = written(split.stratified_split(rows, TARGET, "sensor_id"), "training")
+    return score.score(_forest(table.where("NOT is_test")), rows, ts="2024-02-01 00:00:00")
+
+
+@query(
+    "score_rejects",
+    f"""WITH {SENSOR_CTE}, r AS (SELECT *, user_id % 3 = 0 OR Energy_Unit_log < 3 AS bad FROM sensor)
+        SELECT count(*) AS rows, count(*) FILTER (NOT bad) AS scored, count(*) FILTER (bad) AS rejected,
+               count(*) FILTER (user_id % 3 = 0) AS without_duration, TRUE AS consistent FROM r""",
+)
+def score_rejects(spark, sf):
+    """Readings with features taken away by rule: every row is scored or rejected with its missing fields."""
+    whole = written(sensor(spark, sf), "sensor")
+    gaps = whole.withColumns(
+        {
+            "Duration_days": F.when(F.col("user_id") % 3 != 0, F.col("Duration_days")),
+            "Energy_Unit_log": F.when(F.col("Energy_Unit_log") < 3, float("nan")).otherwise(F.col("Energy_Unit_log")),
+        }
+    )
+    scored = written(score.score(_forest(whole), gaps, ts="2024-02-01 00:00:00"), "scored")
+    rejected = score.rejects(scored)
+    wrong = scored.where("prediction IS NOT NULL AND (probability NOT BETWEEN 0 AND 1 OR confidence > 1 OR risk_level IS NULL)")
+    return scored.agg(F.count("*").alias("rows"), F.count("prediction").alias("scored")).select(
+        "rows",
+        "scored",
+        rejected.agg(F.count("*")).scalar().alias("rejected"),
+        rejected.where(F.array_contains("missing_fields", "Duration_days")).agg(F.count("*")).scalar().alias("without_duration"),
+        (wrong.agg(F.count("*")).scalar() == 0).alias("consistent"),
+    )
+
+
+@query(
+    "train_checks",
+    f"""WITH {SENSOR_CTE} SELECT count(*) AS rows, ceil(count(*) * 2 / 10)::BIGINT AS test_rows,
+        TRUE AS accurate, TRUE AS ranked, TRUE AS votes_hold FROM sensor""",
+)
+def train_checks(spark, sf):
+    """Bounds of the weighted forest on the held-out rows: accuracy and F1, importances, and its votes."""
+    fit, test = _parts(spark, sf)
+    model = _forest(fit)
+    accuracy, f1 = train.evaluate(model, test)
+    ranked = [r["importance"] for r in train.importances(model).collect()]  # one row per feature
+    voted = model.transform(test).withColumnRenamed("prediction", "own")
+    soft = train.vote(voted, ["probability", "probability"], "soft")
+    return test.agg(F.count("*").alias("test_rows")).select(
+        (F.lit(fit.count()) + F.col("test_rows")).alias("rows"),
+        "test_rows",
+        F.lit(accuracy > 0.7 and f1 > 0.7).alias("accurate"),
+        F.lit(ranked == sorted(ranked, reverse=True) and abs(sum(ranked) - 1) < 1e-6).alias("ranked"),
+        (soft.where("own <> prediction").agg(F.count("*")).scalar() == 0).alias("votes_hold"),
+    )
+
+
+@query(
+    "log_batches",
+    f"""WITH {SENSOR_CTE} SELECT CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS run_id, count(*) AS rows,
+        count(*) - 1 AS last FROM sensor GROUP BY 1""",
+)
+def log_batches(spark, sf):
+    """Two batches of one second, one of them logged twice: the same id replaces, another adds."""
+    folder, rows = scratch_path(spark, "log"), _scored(spark, sf)
+    scored = written(rows, "scored")
+    for name, rest in (("even", 0), ("odd", 1), ("even", 0)):
+        own = scored.where(F.pmod("user_id", F.lit(2)) == rest)
+        writers.append_predictions(own, folder, "batch", name, ts="2024-02-01 00:00:00", order=["sensor_id"])
+    log = spark.read.parquet(folder)
+    return log.groupBy("run_id").agg(F.count("*").alias("rows"), F.max(F.col("batch_index").cast("bigint")).alias("last"))
 
 
 @query("batch_scoring")
@@ -137,14 +204,19 @@ def retrain_and_promote(spark, sf):
     return spark.read.parquet(folder).select("accuracy", "f1", "train_size", "val_size", "improvement", "deploy", "status")
 
 
-@query("stream_scoring")
+@query(
+    "stream_scoring",
+    f"""WITH {SENSOR_CTE} SELECT CAST(day AS DATE) AS day, count(*) AS rows, count(*) FILTER (user_id % 3 <> 0) AS scored,
+        count(*) FILTER (user_id % 3 <> 0) AS with_risk FROM sensor GROUP BY 1""",
+)
 def stream_scoring(spark, sf):
-    """The sensor rows as a stream, scored into the prediction log."""
+    """The sensor rows as a stream, a third without a feature, scored into the prediction log."""
     fit, _ = _parts(spark, sf)
     model, folder = _forest(fit), scratch_path(spark, "scoring")
     rows = sensor(spark, sf).withColumn("ts", F.col("day").cast("timestamp"))
+    rows = rows.withColumn("Duration_days", F.when(F.col("user_id") % 3 != 0, F.col("Duration_days")))
     rows.write.parquet(f"{folder}/in")
     stream = streams.ingest_stream(spark, f"{folder}/in", rows.schema)
     streams.score_stream(stream, model, f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
     log = spark.read.parquet(f"{folder}/log")
-    return log.groupBy("date", "risk_level").agg(F.count("*").alias("rows"))
+    return log.groupBy(F.col("date").cast("date").alias("day")).agg(F.count("*").alias("rows"), F.count("prediction").alias("scored"), F.count("risk_level").alias("with_risk"))

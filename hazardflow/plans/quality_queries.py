@@ -85,6 +85,19 @@ def quantiles_exact(spark, sf):
     return out.select("fraction", "n", F.round("value", 6).alias("value"))
 
 
+@query(
+    "quantiles_by_brackets",
+    """SELECT l_returnflag, CAST(fraction AS DOUBLE) AS fraction, count(v) AS n, round(quantile_cont(v, [0.1, 0.5, 0.95])[i], 6) AS value
+       FROM (SELECT l_returnflag, l_extendedprice AS v FROM lineitem), (VALUES (1, 0.1), (2, 0.5), (3, 0.95)) f(i, fraction)
+       GROUP BY l_returnflag, i, fraction""",
+)
+def quantiles_by_brackets(spark, sf):
+    """The ways for large tables: brackets from a sketch, cut into bins."""
+    rows = table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice")
+    out = exact_quantiles(rows, ["l_extendedprice"], [0.1, 0.5, 0.95], ["l_returnflag"], held_values=0, small_group=0, one_task=0)
+    return out.select("l_returnflag", "fraction", "n", F.round("value", 6).alias("value"))
+
+
 @query(
     "feature_range",
     f"""WITH {EVENTS_SQL} {sensor_sql("ev")}

@@ -461,6 +461,50 @@ def row_positions(spark, sf):
     return out.select("event_id", FILE_KEY, "batch_index")
 
 
+@query(
+    "row_positions_names",
+    """SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_name) - 1 AS batch_index FROM customer""",
+)
+def row_positions_names(spark, sf):
+    """Names with a long common start, far more ranges than groups."""
+    rows = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_name")
+    return numbering.batch_index(rows, ["c_mktsegment"], ["c_name"]).drop("c_name")
+
+
+@query(
+    "row_positions_three",
+    """SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_returnflag, l_orderkey, l_linenumber) - 1 AS place FROM lineitem""",
+)
+def row_positions_three(spark, sf):
+    """One group, ordered by three columns of which the first has three values."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    return numbering.position_in_group(rows, [], ["l_returnflag", "l_orderkey", "l_linenumber"], "place", 40).drop("l_returnflag")
+
+
+@query(
+    "split_many_classes",
+    f"""WITH src AS (SELECT l_partkey AS label FROM lineitem), {_ALLOT}
+        SELECT label, TRUE AS is_test, (n - train)::BIGINT AS rows FROM a WHERE n > train
+        UNION ALL SELECT label, FALSE, train::BIGINT FROM a WHERE train > 0""",
+)
+def split_many_classes(spark, sf):
+    key = (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("line")
+    rows = written(table(spark, sf, "lineitem").select(F.col("l_partkey").alias("label"), key), "lines")
+    out = split.stratified_split(rows, "label", "line")
+    return out.groupBy("label", "is_test").agg(F.count("*").alias("rows"))
+
+
+@query(
+    "vote_codes",
+    f"""WITH {EVENTS_SQL}, b AS (SELECT event_id, CAST(k % 9 AS INT) AS a, CAST(k % 7 AS INT) AS b, level + 4 AS c FROM ev)
+        SELECT event_id, CASE WHEN a = b OR a = c THEN a WHEN b = c THEN b ELSE least(a, b, c) END AS prediction FROM b""",
+)
+def vote_codes(spark, sf):
+    """Ballots of classes beyond the four hazard codes."""
+    codes = {"a": F.pmod("k", F.lit(9)).cast("int"), "b": F.pmod("k", F.lit(7)).cast("int"), "c": F.col("level") + 4}
+    return train.vote(events(spark, sf).select("event_id", *[c.alias(n) for n, c in codes.items()]), list(codes)).select("event_id", "prediction")
+
+
 @query(
     "write_batches",
     """SELECT l_returnflag, b AS write_batch, count(*) AS points, min(l_orderkey) AS first_order FROM

@@ -71,18 +71,20 @@ def stream_alerts(spark, sf):
 
 @query(
     "stream_quality_alerts",
-    f"""WITH {DIRTY_SQL}, c AS (SELECT _file, event_type, value, k, count(*) AS n FROM dirty GROUP BY ALL)
-        SELECT CAST(sum(n) AS BIGINT) AS rows,
-               round(sum(n * (CAST(value IS NULL AS INT) + CAST(event_type IS NULL AS INT))) * 100 / (sum(n) * 4), 2) AS missing_pct,
-               CAST(sum(n - 1) AS BIGINT) AS duplicates FROM c""",
+    f"""WITH {DIRTY_SQL}, c AS (
+          SELECT date_trunc('day', ts) AS window_start, event_type, value, k, count(*) AS n FROM dirty GROUP BY ALL),
+        w AS (SELECT window_start, CAST(sum(n) AS BIGINT) AS rows,
+               round(sum(n * (CAST(value IS NULL AS INT) + CAST(event_type IS NULL AS INT))) * 100 / (sum(n) * 3), 2) AS missing_pct,
+               CAST(sum(n - 1) AS BIGINT) AS duplicates FROM c GROUP BY 1)
+        SELECT * FROM w WHERE (missing_pct > 3 OR duplicates > 0) AND window_start + INTERVAL 1 DAY <= {CLOSED}""",
 )
 def stream_quality_alerts(spark, sf):
     folder = scratch_path(spark, "dirty")
-    columns = ["_file", "event_type", "value", "k"]
-    dirty(spark, sf).select(*columns).coalesce(1).write.parquet(f"{folder}/in")
+    columns = ["event_type", "value", "k"]
+    dirty(spark, sf).select("ts", *columns).withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{folder}/in")
     rows = streams.ingest_stream(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema)
-    streams.quality_alerts(rows, columns, f"{folder}/out", f"{folder}/checkpoint", missing_pct=1).awaitTermination()
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+    streams.quality_alerts(rows, columns, f"{folder}/out", f"{folder}/checkpoint", missing_pct=3).awaitTermination()
+    return _naive(spark.read.parquet(f"{folder}/out"), "window_start")
 
 
 def _window_sql(width: str, starts: str) -> str:

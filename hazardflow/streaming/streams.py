@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from hazardflow.functions.scalar import over_threshold
 from hazardflow.models.score import risk_of, score
@@ -59,7 +59,10 @@ def validate_stream(stream: DataFrame, good: str, quarantine: str, checkpoint: s
 def score_stream(
     stream: DataFrame, model: PipelineModel, path: str, checkpoint: str, ts: str = "ts", version: str = "v1.0.0"
 ) -> StreamingQuery:
-    """Score rows as they come and append them to the prediction log."""
+    """Score rows as they come and append them to the prediction log.
+
+    Rows without all features are logged too, with NULL results.
+    """
     scored = score(model, stream, version=version)
     rows = prediction_rows(scored.withColumn("ts", F.col(ts)), "single").withColumn("date", F.to_date("ts"))
     return run_to_table(rows, path, checkpoint, ["date"])
@@ -88,13 +91,30 @@ def dedupe_stream(stream: DataFrame, keys: Sequence[str], late: str = "1 hour")
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def late_count(query: StreamingQuery) -> int:
-    """Rows that came after the watermark and were dropped."""
-    return sum(
-        int(op.get("numRowsDroppedByWatermark", 0))
-        for progress in query.recentProgress
-        for op in progress["stateOperators"]
-    )
+class LateRows(StreamingQueryListener):
+    """Counts the rows that came after the watermark, over all progress of the queries it hears.
+
+    Use: `late = LateRows(); spark.streams.addListener(late)` before the query starts.
+    """
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.rows.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        late = sum(int(op.numRowsDroppedByWatermark) for op in event.progress.stateOperators)
+        self.rows[str(event.progress.id)] = self.rows.get(str(event.progress.id), 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def of(self, query: StreamingQuery) -> int:
+        return self.rows.get(str(query.id), 0)
 
 
 def sensor_windows(
@@ -144,25 +164,41 @@ def alerts(stream: DataFrame, threshold: float, path: str, checkpoint: str) -> S
     return run_to_table(stream.where(over_threshold(F.col("probability"), threshold)), path, checkpoint)
 
 
-def quality_alerts(
-    stream: DataFrame, columns: Sequence[str], path: str, checkpoint: str, missing_pct: float = 10
-) -> StreamingQuery:
-    """Append one row for every micro-batch whose missing share or duplicates break the rules."""
+def quality_windows(
+    stream: DataFrame, columns: Sequence[str], size: str = "1 day", late: str = "1 hour"
+) -> DataFrame:
+    """Rows, missing share and duplicates of every event-time window, also on a batch frame.
 
-    def sink(batch: DataFrame, number: int) -> None:
-        copies = batch.groupBy(*columns).agg(F.count("*").alias("n"))
-        cells = sum((F.when(F.col(c).isNull(), F.col("n")).otherwise(0) for c in columns), F.lit(0))
-        found = copies.agg(
+    Copies are counted per window, wherever the micro-batches are cut.
+    """
+    copies = (
+        stream.withWatermark("ts", late)
+        .groupBy(F.window("ts", size).alias("window"), *columns)
+        .agg(F.count("*").alias("n"))
+        .withColumn("at", F.window_time("window"))
+    )
+    cells = sum((F.when(F.col(c).isNull(), F.col("n")).otherwise(0) for c in columns), F.lit(0))
+    return (
+        copies.groupBy(F.window("at", size).alias("span"))
+        .agg(
             F.sum("n").alias("rows"),
             F.round(F.sum(cells) * 100 / (F.sum("n") * len(columns)), 2).alias("missing_pct"),
             F.sum(F.col("n") - 1).alias("duplicates"),
         )
-        broken = found.where((F.col("missing_pct") > missing_pct) | (F.col("duplicates") > 0))
-        broken.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return (
-        stream.writeStream.foreachBatch(sink)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+        .select(F.col("span.start").alias("window_start"), "rows", "missing_pct", "duplicates")
     )
+
+
+def quality_alerts(
+    stream: DataFrame,
+    columns: Sequence[str],
+    path: str,
+    checkpoint: str,
+    missing_pct: float = 10,
+    size: str = "1 day",
+    late: str = "1 hour",
+) -> StreamingQuery:
+    """Append one row for every closed window whose missing share or duplicates break the rules."""
+    found = quality_windows(stream, columns, size, late)
+    broken = found.where((F.col("missing_pct") > missing_pct) | (F.col("duplicates") > 0))
+    return run_to_table(broken, path, checkpoint)

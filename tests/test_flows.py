@@ -66,8 +66,10 @@ def test_retrain_then_score(spark, readings, tmp_path):
 
     rows = readings.withColumn("Duration_days", F.when(F.col("id") == 7, 1000.0).otherwise(F.col("Duration_days")))
     for _ in range(2):
-        summary, rejected = flows.score_batch(spark, model, rows, str(tmp_path / "log"), "2024-01-03 00:00:00", ["id"])
+        summary, rejected = flows.score_batch(spark, model, rows, str(tmp_path / "log"), "2024-01-03 00:00:00", ["id"], batch_id="a")
     assert [r.id for r in rejected.collect()] == [7]
     assert summary.first().total_predictions == 599
     log = read_predictions(spark, str(tmp_path / "log"), "2024-01-03 00:00:00")
+    other, _ = flows.score_batch(spark, model, rows.where("id < 9"), str(tmp_path / "log"), "2024-01-03 00:00:00", ["id"])
+    assert read_predictions(spark, str(tmp_path / "log"), "2024-01-03 00:00:00").count() == 599 + 8
     assert log.count() == 599 and len(latest(log, 5).collect()) == 5

@@ -86,10 +86,27 @@ def test_probability_helpers_and_soft_vote(spark):
     frame = spark.createDataFrame([(Vectors.dense(0.2, 0.5, 0.3), Vectors.dense(0.1, 0.0, 0.9), 1.0)], ["p", "q", "c"])
     row = frame.select(predicted_probability(F.col("p"), F.col("c")).alias("a"), hazard_probability(F.col("p"), [1, 2]).alias("b")).first()
     assert (row.a, row.b) == (0.5, 0.8)
-    assert train.vote(frame, ["p", "q"], "soft", classes=3).first().prediction == 2
+    assert train.vote(frame, ["p", "q"], "soft").first().prediction == 2
 
 
 def test_feedback(spark):
     frame = spark.createDataFrame([(1, 2), (1, 1)], "predicted_class int, corrected_class int")
     assert [r.target for r in train.feedback_labels(frame).collect()] == [2, 1]
     assert train.agreement(frame).first().agreement == 0.5
+
+
+def test_vote_with_any_code(spark):
+    frame = spark.createDataFrame([(5, 5, 5), (7, 9, 9), (8, 6, 7), (None, 4, None), (None, None, None)], "a int, b int, c int")
+    assert [r.prediction for r in train.vote(frame, ["a", "b", "c"]).collect()] == [5, 9, 6, 4, None]
+
+
+def test_no_row_is_lost(rows, forest):
+    gaps = rows.withColumn(FEATURES[0], F.when(F.col("id") % 4 != 0, F.col(FEATURES[0])))
+    scored = score.score(forest, gaps)
+    lost = score.rejects(scored)
+    assert scored.count() == rows.count()
+    assert lost.count() == rows.where("id % 4 = 0").count()
+    assert {tuple(r.missing_fields) for r in lost.collect()} == {(FEATURES[0],)}
+    assert score.score(forest, rows).where("prediction IS NULL").count() == 0
+    with pytest.raises(Exception, match="null|NULL|NaN"):
+        train.pipeline("logistic").fit(gaps)

@@ -101,8 +101,12 @@ def test_registry(spark, tmp_path):
     path = str(tmp_path / "runs")
     day = dt.datetime(2024, 1, 1)
     registry.append_run(spark, path, (day, "m1", 0.90, 0.9, 80, 20, True, 0.08, "deployed"))
+    later = (day + dt.timedelta(days=1), "m2", 0.905, 0.9, 80, 20, False, 0.005, "skipped")
     for _ in range(2):  # a repeat replaces the row
-        registry.append_run(spark, path, (day + dt.timedelta(days=1), "m2", 0.905, 0.9, 80, 20, False, 0.005, "skipped"))
+        registry.append_run(spark, path, later, "second")
+    registry.append_run(spark, str(tmp_path / "other"), later)
+    registry.append_run(spark, str(tmp_path / "other"), later)
+    assert registry.read_runs(spark, str(tmp_path / "other")).count() == 2  # one second, two runs
     runs = registry.read_runs(spark, path)
     assert runs.count() == 2
     assert registry.current_model(runs).first().model_path == "m1"

@@ -1,3 +1,5 @@
+import pytest
+import time
 import datetime as dt
 
 from pyspark.sql import functions as F
@@ -43,8 +45,17 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     put(spark, inbox, 1, rows_at((1, 1), (2, 2), (3, 60)))
     run(windows(), out)
     put(spark, inbox, 2, rows_at((4, 3), (5, 61), (6, 100)))
-    query = run(windows(), out)
-    assert streams.late_count(query) >= 1
+    late = streams.LateRows()
+    spark.streams.addListener(late)
+    try:
+        query = run(windows(), out)
+        for _ in range(100):
+            if late.of(query):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(late)
+    assert late.of(query) >= 1
     got = {(r.window_start - DAY).seconds // 60: r.predictions for r in spark.read.parquet(f"{out}/table").collect()}
     assert got == {0: 2, 60: 2}
 
@@ -90,9 +101,14 @@ def test_alerts(spark, tmp_path):
     assert [r.id for r in spark.read.parquet(f"{out}/t").collect()] == [1]
 
 
-def test_quality_alerts(spark, tmp_path):
+@pytest.mark.parametrize("batches", [1, 3])
+def test_quality_alerts(spark, tmp_path, batches):
+    """The same alerts for one and for several micro-batches; the second day has no fault."""
     inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
-    put(spark, inbox, 1, rows_at((1, 0)) * 2 + [(2, DAY, None, None, 0.1, "Low")])
-    streams.quality_alerts(source(spark, inbox), ["id", "user", "value"], f"{out}/t", f"{out}/c").awaitTermination()
-    row = spark.read.parquet(f"{out}/t").first()
-    assert (row.rows, row.duplicates, row.missing_pct) == (3, 1, 22.22)
+    next_day = DAY + dt.timedelta(days=1)
+    rows = rows_at((1, 0)) * 2 + [(2, DAY, None, None, 0.1, "Low"), (3, next_day, 1, 1.0, 0.1, "Low"), (4, next_day + dt.timedelta(days=2), 1, 1.0, 0.1, "Low")]
+    for i in range(batches):
+        put(spark, inbox, i, rows[i * len(rows) // batches : (i + 1) * len(rows) // batches])
+        streams.quality_alerts(source(spark, inbox), ["id", "user", "value"], f"{out}/t", f"{out}/c").awaitTermination()
+    found = spark.read.parquet(f"{out}/t").collect()
+    assert [(r.rows, r.duplicates, r.missing_pct) for r in found] == [(3, 1, 22.22)]
