@@ -45,6 +45,7 @@ def sliced(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[p
         rows = max(1, int(batch.num_rows * size // max(batch.nbytes, 1)))
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()  # the worker may wait long for its next task
 
 
 def distinct_words(lists: pa.ListArray) -> tuple[list[bytes], pa.Array]:

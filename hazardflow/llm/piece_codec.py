@@ -30,7 +30,7 @@ from hazardflow.llm.common import distinct_words, list_offsets, lists_of, no_cyc
 from hazardflow.llm.merges import MergeTable
 from hazardflow.llm.token_counts import library
 
-MAX_PRE_TOKENS = 500_000
+MAX_PRE_TOKENS = 250_000
 LONG = 100
 SPACE = "▁"
 _LOADED: dict[str, PieceCodec] = {}

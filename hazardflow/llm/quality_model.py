@@ -44,7 +44,7 @@ REACH = 2
 HIDDEN = 32
 EXTRA = 4
 ROUNDS = 300
-MAX_WORDS = 400_000
+MAX_WORDS = 150_000
 FIT_PARTS = 8
 UPPER, LOWER, DIGIT, RUN = re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"\d+"), re.compile(r"([^\w\s])\1+")
 LETTERS = re.compile(r"[\W\d_]+")
@@ -242,6 +242,7 @@ def score_column(model: QualityModel | None, text: str = "text") -> Column:
             step = max(1, len(texts) * (1 << 20) // max(texts.nbytes, 1))
             parts = [model.scores(texts.slice(i, step)) for i in range(0, len(texts), step)]
             yield pa.array(np.concatenate(parts) if parts else [], pa.float64())
+        model.vocabulary.known = {}
 
     return score(text)
 

@@ -31,7 +31,7 @@ from hazardflow.session import written
 
 HEAD = 200_000
 HEAD_BYTES = 40
-FLUSH = 400_000
+FLUSH = 300_000
 _LIBRARY: dict[str, object] = {}
 
 

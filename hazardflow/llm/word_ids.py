@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from hazardflow.llm.common import lists_of, looked_up, no_cycles, plain_bytes, sliced
 from hazardflow.llm.merges import MergeTable
 
-MAX_WORDS = 700_000
+MAX_WORDS = 200_000
 LONG = 100
 PLAIN = regex.compile("[!-~¡-ɏ]+")  # no white space, no control or combining characters
 PLAIN_LINES = regex.compile("[\n!-~¡-ɏ]*")
