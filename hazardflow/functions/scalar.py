@@ -24,6 +24,13 @@ def as_number(text: Column) -> Column:
     return F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
 
 
+def number_text(text: Column) -> Column:
+    """One spelling for equal numbers: 1.0, 1.00 and 1e0 are the same value, and whole numbers keep their digits."""
+    whole = F.trim(text).try_cast("decimal(38,0)").cast("string")
+    plain = F.when(as_number(text) == 0, F.lit(0.0)).otherwise(as_number(text))
+    return F.when(looks_integer(text) & whole.isNotNull(), whole).otherwise(plain.cast("string"))
+
+
 def looks_integer(text: Column) -> Column:
     return text.rlike(_INTEGER)
 

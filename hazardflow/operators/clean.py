@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardflow.functions.scalar import as_number, no_nan
-from hazardflow.operators.lookup import attach
+from hazardflow.operators.lookup import attach, named
 from hazardflow.operators.profile import COPIES, data_columns, is_missing, row_copies
 from hazardflow.operators.quantiles import exact_mode, medians
 from hazardflow.schema import FEATURES, FILE_KEY, TARGET
@@ -37,7 +37,7 @@ def impute_median(frame: DataFrame, columns: Sequence[str], key: Sequence[str] =
         )
         for c in columns
     }
-    return attach(frame, stats, key).withColumns(filled).select(*frame.columns)
+    return attach(frame, stats, key).withColumns(filled).select(*[named(c) for c in frame.columns])
 
 
 def impute_mode(
@@ -46,7 +46,7 @@ def impute_mode(
     stats = exact_mode(frame, column, key).withColumnRenamed(column, "_mode")
     kind = dict(frame.dtypes)[column]
     filled = F.coalesce(column, "_mode", F.lit(default).cast(kind))
-    return attach(frame, stats, key).withColumn(column, filled).select(*frame.columns)
+    return attach(frame, stats, key).withColumn(column, filled).select(*[named(c) for c in frame.columns])
 
 
 def is_all_zero(columns: Sequence[str], own: str | None = None) -> Column:
@@ -56,7 +56,7 @@ def is_all_zero(columns: Sequence[str], own: str | None = None) -> Column:
     """
 
     def zero(c: str) -> Column:
-        test = F.coalesce(F.col(c) == 0, F.lit(False))
+        test = F.coalesce(named(c) == 0, F.lit(False))
         return test if own is None else test | ~F.array_contains(own, c)
 
     some = F.lit(bool(columns))
@@ -133,7 +133,7 @@ def clean_table(
         changes[label] = F.coalesce(label, f"_fill_{label}", F.lit(0))
     filled = filled.withColumns(changes).withColumn("_dead", is_all_zero(numeric, own))
 
-    cleaned = narrow(filled.where("NOT _dead").select(key, *columns), numeric, [label] if label else [])
+    cleaned = narrow(filled.where("NOT _dead").select(key, *[named(c) for c in columns]), numeric, [label] if label else [])
     left = {f.name: f.dataType for f in filled.schema.fields}
     report = clean_stats(filled.withColumn("_left", empty_cells(left)), key)
     return cleaned, report

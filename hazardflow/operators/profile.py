@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazardflow.functions.scalar import as_number, looks_integer
+from hazardflow.functions.scalar import as_number, looks_integer, number_text
+from hazardflow.operators.lookup import attach, named
 from hazardflow.operators.quantiles import exact_quantiles
 from hazardflow.schema import BOUNDS, FILE_KEY
 
@@ -44,6 +45,30 @@ def row_copies(frame: DataFrame, key: Sequence[str] = (FILE_KEY,)) -> DataFrame:
     return frame.groupBy(*[f"`{c}`" for c in columns]).agg(F.count("*").alias(COPIES))
 
 
+def by_value(frame: DataFrame, key: Sequence[str] = (FILE_KEY,)) -> DataFrame:
+    """Text columns that hold only numbers in a file get one spelling per number.
+
+    Equal rows of a file are then equal as texts, as they are once a reader has
+    parsed them; a column with other texts keeps its spelling. Two scans.
+    """
+    texts = [f.name for f in frame.schema.fields if f.name not in key and isinstance(f.dataType, T.StringType)]
+    if not texts:
+        return frame
+    held = {c: F.bool_and(named(c).isNull() | as_number(named(c)).isNotNull()) for c in texts}
+    whole = {c: F.bool_and(named(c).isNull() | looks_integer(named(c))) for c in texts}
+    kinds = [F.when(whole[c], "whole").when(held[c], "number").alias(f"_{i}") for i, c in enumerate(texts)]
+    flags = frame.groupBy(*key).agg(F.array(*kinds).alias("_kinds"))
+    tagged = attach(frame, flags, key)
+
+    def spelled(i: int, c: str) -> Column:
+        kind, text = F.get("_kinds", F.lit(i)), named(c)
+        fraction = F.when(as_number(text) == 0, F.lit(0.0)).otherwise(as_number(text)).cast("string")
+        return F.when(kind == "whole", number_text(text)).when(kind == "number", fraction).otherwise(text)
+
+    spelled_texts = {c: spelled(i, c) for i, c in enumerate(texts)}
+    return tagged.select(*[spelled_texts[c].alias(c) if c in spelled_texts else named(c) for c in frame.columns])
+
+
 def _inferred_type(column: str, kind: T.DataType, weight: Column) -> Column:
     """Type name a CSV reader gives the column's values."""
     if isinstance(kind, T.StringType):

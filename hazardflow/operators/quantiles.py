@@ -224,6 +224,8 @@ def _between(a: Column, b: Column, rank: Column) -> Column:
 
 def medians(frame: DataFrame, columns: Sequence[str], key: Sequence[str] = (), **options) -> DataFrame:
     """One row per key, one median column per input column."""
+    if not columns:
+        return frame.select(*key).distinct()
     rows = exact_quantiles(frame, columns, [0.5], key, **options)
     return rows.groupBy(*key).agg(
         *[F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in columns]

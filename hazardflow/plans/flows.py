@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hazardflow.models import registry, score, train
 from hazardflow.operators import clean, quality, relate, split
 from hazardflow.operators.lookup import attach
-from hazardflow.operators.profile import range_check, row_copies
+from hazardflow.operators.profile import by_value, range_check, row_copies
 from hazardflow.reports import report
 from hazardflow.schema import EXTRA_CELL, FEATURES, FILE_KEY, TARGET
 from hazardflow.session import written
@@ -28,9 +28,7 @@ def ingest(
     stage tables (one row per file), the summary and the report head.
     """
     rows, files = readers.read_csv_files(spark, folder)
-    copies = written(row_copies(readers.drop_index_column(rows)), "copies")
-    kept_names = F.filter("columns", lambda c: ~c.isin(*readers.INDEX_COLUMNS))
-    files = files.withColumn("columns", kept_names)
+    copies = written(row_copies(by_value(rows)), "copies")
     checked = written(quality.validate_files(copies, files), "validated")
 
     good = relate.only_ok(copies.drop(EXTRA_CELL), checked.where("status = 'error'"))

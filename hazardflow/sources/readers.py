@@ -78,8 +78,9 @@ def read_csv_files(
 
     Gives all rows as text with their file, and the file table
     (file, path, bytes, columns, status, error). Files are read by groups with
-    the same header; a file that cannot be read is an error row. Rows with more
-    cells than the header show in the column `_extra`.
+    the same header; a file that cannot be read is an error row. Only files
+    whose quoted cells hold line breaks are read whole, the others in splits.
+    Rows with more cells than the header show in the column `_extra`.
     """
     listed = list_inputs(spark, folder, suffix).collect()
     sizes = {f[FILE_KEY]: f for f in listed}
@@ -106,20 +107,28 @@ def read_csv_files(
         ],
         f"{FILE_KEY} string, path string, bytes bigint, columns array<string>, status string, error string",
     )
+    whole = _with_open_quotes(spark, full) if full else set()
     groups = defaultdict(list)
     for file, names in columns.items():
-        groups[tuple(names)].append(sizes[file]["path"])
+        groups[tuple(names), file in whole].append(sizes[file]["path"])
     rows = None
-    for names, paths in groups.items():
-        part = _read_group(spark, names, paths, null_tokens)
+    for (names, broken), paths in groups.items():
+        part = _read_group(spark, names, paths, null_tokens, broken)
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
     if rows is None:
         rows = spark.createDataFrame([], f"{FILE_KEY} string, {EXTRA_CELL} string")
     return rows, table
 
 
+def _with_open_quotes(spark: SparkSession, paths: Sequence[str]) -> set[str]:
+    """Files with a line that opens a quote and does not close it: their cells hold line breaks."""
+    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias(FILE_KEY), "value")
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"')))
+    return {r[FILE_KEY] for r in lines.where(quotes % 2 == 1).select(FILE_KEY).distinct().collect()}
+
+
 def _read_group(
-    spark: SparkSession, names: Sequence[str], paths: Sequence[str], null_tokens: Sequence[str]
+    spark: SparkSession, names: Sequence[str], paths: Sequence[str], null_tokens: Sequence[str], broken: bool = False
 ) -> DataFrame:
     schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, EXTRA_CELL)])
     cells = (
@@ -128,6 +137,7 @@ def _read_group(
         .option("mode", "PERMISSIVE")
         .option("quote", '"')
         .option("escape", '"')
+        .option("multiLine", broken)
         .csv(list(paths))
     )
     return cells.select(

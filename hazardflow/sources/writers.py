@@ -46,6 +46,8 @@ def write_clean(frame: DataFrame, path: str, run: str, key: str = FILE_KEY, file
     scattered.
     """
     named = frame.withColumn("output_name", output_name(F.col(key), F.lit(run)))
+    if set(frame.columns) <= {key}:  # no file could be read
+        return frame.sparkSession.createDataFrame([], "output_name string, parts bigint, output_bytes bigint")
     for number, (rows, columns) in enumerate(_layouts(named, files, key)):
         (
             rows.select("output_name", *[F.col(f"`{c}`") for c in columns])

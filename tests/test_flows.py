@@ -36,7 +36,7 @@ def test_ingest(spark, tmp_path):
     assert extra == {1.0: ({}, None), 9.0: ({"note": "x"}, 1.5)}
     again, listed = read_csv_files(spark, str(tmp_path / "out/clean/run_id=r1/layout=*/output_name=*"))
     headers = {len(r.columns) for r in listed.collect()}
-    assert again.count() == 2 and headers == {9, 12}
+    assert again.count() == 2 and headers == {10, 12}  # the index column stays
 
 
 @pytest.fixture(scope="module")
@@ -73,3 +73,36 @@ def test_retrain_then_score(spark, readings, tmp_path):
     other, _ = flows.score_batch(spark, model, rows.where("id < 9"), str(tmp_path / "log"), "2024-01-03 00:00:00", ["id"])
     assert read_predictions(spark, str(tmp_path / "log"), "2024-01-03 00:00:00").count() == 599 + 8
     assert log.count() == 599 and len(latest(log, 5).collect()) == 5
+
+
+def test_ingest_of_odd_files(spark, tmp_path):
+    """Equal numbers spelled apart, quoted line breaks, dotted headers, an index column, no feature at all."""
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Duration_days,Energy_Unit_log\n1.0,2\n1.00,2\n3,4\n")
+    (folder / "b.csv").write_text('Duration_days,note\n5,"x\ny"\n6,z\n')
+    (folder / "c.csv").write_text("temp.max,temp.max\n7,8\n")
+    (folder / "d.csv").write_text(",Duration_days\n0,9\n1,9\n")
+    (folder / "e.csv").write_text("")
+    out = flows.ingest(spark, str(folder), str(tmp_path / "out"), "r", "2024-01-01 00:00:00")
+    rows = {r._file.rsplit("/", 1)[1]: r for r in out["stages"].collect()}
+    assert (rows["a.csv"].rows, rows["a.csv"].duplicates_removed, rows["a.csv"].rows_after) == (3, 1, 2)
+    assert (rows["b.csv"].rows, rows["b.csv"].rows_after, rows["b.csv"].duplicates_removed) == (2, 2, 0)
+    assert rows["c.csv"].rows_after == 1 and rows["e.csv"].status == "error"
+    assert (rows["d.csv"].rows_after, rows["d.csv"].duplicates_removed) == (2, 0)
+
+
+def test_ingest_without_any_feature(spark, tmp_path):
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    (folder / "a.csv").write_text("x,y\n1,2\n")
+    out = flows.ingest(spark, str(folder), str(tmp_path / "out"), "r", "2024-01-01 00:00:00")
+    assert out["summary"].count() == 1 and out["stages"].first().rows_after == 1
+
+
+def test_ingest_of_bad_files_only(spark, tmp_path):
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    (folder / "a.csv").write_text("")
+    out = flows.ingest(spark, str(folder), str(tmp_path / "out"), "r", "2024-01-01 00:00:00")
+    assert [r.status for r in out["validated"].collect()] == ["error"]
