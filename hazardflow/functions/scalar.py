@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hazardflow.schema import NULL_TOKENS, RISK_STARTS
+from hazardflow.schema import NULL_TOKENS, RISK_STARTS, VARIANT
 
 # Java also reads "1d" or "0x1p3" as numbers; a CSV reader must not.
 _NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity)\s*$"
@@ -121,6 +121,12 @@ def batch_id(ts: Column, rows: Column) -> Column:
     return F.concat_ws("_", F.lit("batch"), stamp(ts), rows.cast("string"))
 
 
+def own_name(name: str) -> str:
+    """A column's name as its file spells it."""
+    return name.split(VARIANT)[0]
+
+
 def name_list(names: Column) -> Column:
     """Render an array of names as ['a', 'b']."""
-    return F.concat(F.lit("['"), F.array_join(names, "', '"), F.lit("']"))
+    own = F.transform(names, lambda n: F.substring_index(n, VARIANT, 1))
+    return F.concat(F.lit("['"), F.array_join(own, "', '"), F.lit("']"))

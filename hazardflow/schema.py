@@ -17,6 +17,8 @@ FEATURES = [
 ]
 TARGET = "Intensity_Level_encoded"
 REQUIRED = FEATURES + [TARGET]
+# Starts the mark of a column whose name differs only in case from another file's.
+VARIANT = "\ue000"
 
 SENSOR_SCHEMA = T.StructType(
     [T.StructField(name, T.DoubleType()) for name in FEATURES]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazardflow.functions.scalar import as_number
+from hazardflow.functions.scalar import as_number, own_name
 from hazardflow.operators.profile import is_numeric_type
 from hazardflow.schema import FILE_KEY
 
@@ -42,9 +42,14 @@ def to_points(
             tags[c] = F.when(kind == "object", value)
 
     def present(columns: dict[str, Column], kind: str) -> Column:
+        spelled: dict[str, Column] = {}
+        for c, value in columns.items():  # of one file only one spelling has values
+            name = own_name(c)
+            spelled[name] = F.coalesce(spelled[name], value) if name in spelled else value
+        columns = spelled
         if not columns:
             return F.create_map().cast(f"map<string,{kind}>")
-        pairs = [x for c, value in columns.items() for x in (F.lit(c), value.cast(kind))]
+        pairs = [x for c, value in columns.items() for x in (F.lit(own_name(c)), value.cast(kind))]
         empty = (lambda v: v.isNull() | F.isnan(v)) if kind == "double" else (lambda v: v.isNull())
         return F.map_filter(F.create_map(*pairs), lambda _, v: ~empty(v))
 

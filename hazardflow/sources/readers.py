@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hazardflow.functions.scalar import null_if_token
-from hazardflow.schema import EXTRA_CELL, FILE_KEY, NULL_TOKENS
+from hazardflow.schema import EXTRA_CELL, FILE_KEY, NULL_TOKENS, REQUIRED, VARIANT
 
 INDEX_COLUMNS = ("Unnamed: 0", "_c0")
 _ONE_FILE_PER_TASK = 1 << 40
@@ -100,6 +100,7 @@ def read_csv_files(
             errors[file] = "column names differ only in case"
         else:
             columns[file] = names
+    columns = _told_apart(columns)
     table = spark.createDataFrame(
         [
             (file, f["path"], f["bytes"], columns.get(file, []), "error" if file in errors else "ok", errors.get(file))
@@ -120,6 +121,24 @@ def read_csv_files(
     return rows, table
 
 
+def _told_apart(columns: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Columns of different files whose names differ only in case stay different columns.
+
+    The required spelling, else the first by file name, keeps its name; others
+    get a mark that outputs do not show.
+    """
+    plain, marks = {n.lower(): n for n in REQUIRED}, {}
+    out = {}
+    for file in sorted(columns):
+        out[file] = []
+        for name in columns[file]:
+            if plain.setdefault(name.lower(), name) == name:
+                out[file].append(name)
+            else:
+                out[file].append(f"{name}{VARIANT}{marks.setdefault(name, len(marks))}")
+    return out
+
+
 def _with_open_quotes(spark: SparkSession, paths: Sequence[str]) -> set[str]:
     """Files with a line that opens a quote and does not close it: their cells hold line breaks."""
     lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias(FILE_KEY), "value")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardflow.functions.scalar import output_name
+from hazardflow.functions.scalar import output_name, own_name
 from hazardflow.operators.lookup import attach
 from hazardflow.operators.numbering import batch_index
 from hazardflow.schema import FEATURES, FILE_KEY
@@ -50,7 +50,7 @@ def write_clean(frame: DataFrame, path: str, run: str, key: str = FILE_KEY, file
         return frame.sparkSession.createDataFrame([], "output_name string, parts bigint, output_bytes bigint")
     for number, (rows, columns) in enumerate(_layouts(named, files, key)):
         (
-            rows.select("output_name", *[F.col(f"`{c}`") for c in columns])
+            rows.select("output_name", *[F.col(f"`{c}`").alias(own_name(c)) for c in columns])
             .hint("rebalance", "output_name")
             .write.mode("overwrite")
             .partitionBy("output_name")

@@ -106,3 +106,15 @@ def test_ingest_of_bad_files_only(spark, tmp_path):
     (folder / "a.csv").write_text("")
     out = flows.ingest(spark, str(folder), str(tmp_path / "out"), "r", "2024-01-01 00:00:00")
     assert [r.status for r in out["validated"].collect()] == ["error"]
+
+
+def test_ingest_of_names_that_differ_in_case(spark, tmp_path):
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Duration_days,Note\n1,x\n")
+    (folder / "b.csv").write_text("duration_days,note\n2,y\n")
+    flows.ingest(spark, str(folder), str(tmp_path / "out"), "r", "2024-01-01 00:00:00")
+    heads = {p.read_text().split("\n")[0] for p in (tmp_path / "out" / "clean").rglob("*.csv")}
+    assert heads == {"Duration_days,Note", "duration_days,note"}
+    stored = {tuple(sorted({**r.fields, **r.tags})) for r in spark.read.parquet(str(tmp_path / "out/points")).collect()}
+    assert stored == {("Duration_days", "Note"), ("duration_days", "note")}
