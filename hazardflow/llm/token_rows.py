@@ -89,14 +89,6 @@ def token_rows(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     kind = docs.schema["doc_id"].dataType.simpleString()
     number = {2: "<u2", 4: "<u4"}[width]
 
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wide = [np.frombuffer(x, "<u4") for x in batch["ids"].to_pylist()]
-            if any(len(x) and x.max() >> (8 * width) for x in wide):
-                raise ValueError("an id does not fit the width")
-            ids = pa.array([x.astype(number).tobytes() for x in wide], pa.binary())
-            yield pa.record_batch([batch["doc_id"], batch["piece"], ids], ["doc_id", "piece", "ids"])
-
     def fill(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.Table.from_batches(list(batches))
         ids = [np.frombuffer(x, number) for chunk in held["ids"].chunks for x in chunk.to_pylist()]
@@ -116,9 +108,8 @@ def token_rows(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     groups = group_count(docs, "text", GROUP_BYTES, GROUP_ROWS)
-    pieces = pieces_of(docs, path, capacity, end_id).filter("length > 0").select("doc_id", "piece", "ids")
-    thin = pieces if width == 4 else pieces.mapInArrow(narrow, f"doc_id {kind}, piece int, ids binary")
-    dealt = thin.withColumn("packing group", F.pmod(F.xxhash64("doc_id", "piece", F.crc32("ids")), F.lit(groups)))
+    pieces = pieces_of(docs, path, capacity, end_id, width).filter("length > 0").select("doc_id", "piece", "ids")
+    dealt = pieces.withColumn("packing group", F.pmod(F.xxhash64("doc_id", "piece", F.crc32("ids")), F.lit(groups)))
     return dealt.groupBy("packing group").applyInArrow(fill, SCHEMA.format(kind=kind))
 
 

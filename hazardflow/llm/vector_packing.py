@@ -31,19 +31,19 @@ GROUP_BYTES = 24 << 20
 GROUP_ROWS = 10_000
 
 
-def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int | None = 1) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit).
+def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int | None = 1, size: int = 4) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids (little-endian unsigned, `size` bytes each).
 
     Only a document longer than the capacity is cut, losslessly, into full pieces and a rest.
     """
-    width = 4 * capacity
-    whole = with_ids(docs, path, end_id)
+    width = size * capacity
+    whole = with_ids(docs, path, end_id, size)
     last = F.greatest(F.ceil(F.length("all_ids") / F.lit(width)).cast("int") - 1, F.lit(0))
     cut = whole.select("doc_id", "all_ids", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     ids = F.expr(f"substring(all_ids, piece * {width} + 1, {width})")
     return cut.select(
         "doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("start"), ids.alias("ids")
-    ).select("doc_id", "piece", "start", (F.length("ids") / 4).cast("long").alias("length"), "ids")
+    ).select("doc_id", "piece", "start", (F.length("ids") / size).cast("long").alias("length"), "ids")
 
 
 def best_fit(lengths: np.ndarray, capacities: tuple[int, int, int], rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:

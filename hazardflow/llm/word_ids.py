@@ -133,15 +133,26 @@ def loaded(path: str) -> WordIds:
     return _LOADED[path]
 
 
-def with_ids(docs: DataFrame, path: str, end_id: int | None = None) -> DataFrame:
-    """doc_id, all_ids: the ids of each text (null: empty) as little-endian unsigned 32-bit numbers, then end_id."""
+def with_ids(docs: DataFrame, path: str, end_id: int | None = None, width: int = 4) -> DataFrame:
+    """doc_id, all_ids: the ids of each text (null: empty), then end_id, as little-endian unsigned numbers of `width` bytes.
+
+    width 2 needs ids below 65536.
+    """
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def narrow(ids: bytes) -> bytes:
+        wide = np.frombuffer(ids, "<u4")
+        if len(wide) and wide.max() >> 16:
+            raise ValueError("an id does not fit two bytes")
+        return wide.astype("<u2").tobytes()
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = loaded(path)
         for batch in sliced(batches):
             ids = pc.binary_join_element_wise(words.encode(batch.column(1)), pa.scalar(end, pa.binary()), b"")
+            if width == 2:
+                ids = pa.array([narrow(x) for x in ids.to_pylist()], pa.binary())
             yield pa.record_batch([batch.column(0), ids], ["doc_id", "all_ids"])
 
     return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, all_ids binary")
