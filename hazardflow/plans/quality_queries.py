@@ -19,6 +19,7 @@ from hazardflow.plans.views import (
     table,
 )
 from hazardflow.schema import BOUNDS, FEATURES, FILE_KEY, TARGET
+from hazardflow.session import written
 
 DIRTY_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "k", "level"]
 # The type name a profile gives each column of the dirty view.
@@ -235,7 +236,8 @@ def dedupe(spark, sf):
         SELECT event_id, _file, round(coalesce(value, mv), 4) AS value FROM one JOIN med USING (_file)""",
 )
 def impute_median(spark, sf):
-    filled = clean.impute_median(clean.dedupe(dirty(spark, sf)), ["value"])
+    rows = written(clean.dedupe(dirty(spark, sf)), "rows")  # read more than once
+    filled = clean.impute_median(rows, ["value"])
     return filled.select("event_id", FILE_KEY, F.round("value", 4).alias("value"))
 
 
