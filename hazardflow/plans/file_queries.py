@@ -99,16 +99,15 @@ def file_profile(spark, sf):
 
 @query(
     "file_sizes",
-    f"""WITH {EVENTS_SQL}, parts AS (SELECT DISTINCT _file FROM ev) SELECT _file, TRUE AS found, TRUE AS has_bytes FROM parts""",
+    f"""WITH {EVENTS_SQL} SELECT _file, CAST(sum(strlen(event_id || ';' || event_type) + 1) AS BIGINT) AS bytes FROM ev GROUP BY 1""",
 )
 def file_sizes(spark, sf):
+    """Bytes of the listed files, one line per event."""
     folder = scratch_path(spark, "sizes")
-    rows = events(spark, sf)
-    rows.hint("rebalance", FILE_KEY).write.partitionBy(FILE_KEY).option("header", True).csv(folder)
-    listed = readers.list_inputs(spark, f"{folder}/*", ".CSV")
-    return listed.groupBy(F.regexp_extract("path", rf"{FILE_KEY}=([^/]+)/", 1).alias(FILE_KEY)).agg(
-        (F.count("*") > 0).alias("found"), (F.sum("bytes") > 0).alias("has_bytes")
-    )
+    lines = events(spark, sf).select(FILE_KEY, F.concat_ws(";", "event_id", "event_type").alias("line"))
+    lines.hint("rebalance", FILE_KEY).write.partitionBy(FILE_KEY).text(folder)
+    listed = readers.list_inputs(spark, f"{folder}/*", ".TXT")
+    return listed.groupBy(F.regexp_extract("path", rf"{FILE_KEY}=([^/]+)/", 1).alias(FILE_KEY)).agg(F.sum("bytes").alias("bytes"))
 
 
 @query(

@@ -160,7 +160,7 @@ LONG_SQL = f"""{SCORED_SQL},
 points AS (
   SELECT ts, 'prediction' AS field, CAST(prediction AS DOUBLE) AS value FROM scored
   UNION ALL SELECT ts, 'probability', probability FROM scored),
-texts AS (SELECT ts, risk_level AS value FROM scored WHERE k < 90)"""
+texts AS (SELECT ts, CASE WHEN k < 90 THEN risk_level END AS value FROM scored)"""
 
 
 def _number_points(spark, sf):
@@ -171,7 +171,8 @@ def _number_points(spark, sf):
 
 
 def _text_points(spark, sf):
-    return scored(spark, sf).where("k < 90").select("ts", F.col("risk_level").alias("value"))
+    """Risk texts; those of k >= 90 are missing, so that some times have none."""
+    return scored(spark, sf).select("ts", F.when(F.col("k") < 90, F.col("risk_level")).alias("value"))
 
 
 @query("points_long", f"WITH {LONG_SQL} SELECT ts, field, value FROM points")
