@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazardflow.llm.common import settle
 from hazardflow.llm.text_metrics import base_metrics
 from hazardflow.session import written
 
@@ -44,9 +45,10 @@ def counts_column(text: str = "text") -> Column:
     @F.arrow_udf(f"struct<{', '.join(f'{c}: bigint' for c in COUNTS)}>")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            step = max(1, len(texts) * (4 << 20) // max(texts.nbytes, 1))
+            step = max(1, len(texts) * (2 << 20) // max(texts.nbytes, 1))
             parts = [base_metrics(texts.slice(i, step)) for i in range(0, max(len(texts), 1), step)]
             yield pa.StructArray.from_arrays([pa.array(np.concatenate([p[c] for p in parts]), pa.int64()) for c in COUNTS], COUNTS)
+        settle()
 
     return count(text)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
@@ -15,11 +16,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZERS = "/opt/tokenizers"
+BATCH_ROWS = 1000
 MARK = "▁"
 RUNS = re.compile(" *[^ ]+| +")
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows from now on: texts are long, and a batch is held more than once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def settle() -> None:
+    """Give free memory back: a worker may wait long for its next task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -45,7 +64,7 @@ def sliced(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[p
         rows = max(1, int(batch.num_rows * size // max(batch.nbytes, 1)))
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
-    pa.default_memory_pool().release_unused()  # the worker may wait long for its next task
+    settle()
 
 
 def distinct_words(lists: pa.ListArray) -> tuple[list[bytes], pa.Array]:

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazardflow.llm.common import no_cycles, plain_bytes, sliced
+from hazardflow.llm.common import no_cycles, plain_bytes, settle, sliced
 from hazardflow.llm.text_metrics import words_of
 from hazardflow.session import written
 
@@ -243,6 +243,7 @@ def score_column(model: QualityModel | None, text: str = "text") -> Column:
             parts = [model.scores(texts.slice(i, step)) for i in range(0, len(texts), step)]
             yield pa.array(np.concatenate(parts) if parts else [], pa.float64())
         model.vocabulary.known = {}
+        settle()
 
     return score(text)
 
