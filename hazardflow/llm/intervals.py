@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardflow.llm.common import as_bytes, no_cycles, plain_bytes, sliced
+from hazardflow.llm.common import as_bytes, no_cycles, plain_bytes, settle, sliced
 
 LEAST = 50
 GRAM = 16
@@ -315,6 +315,7 @@ def removed_spans(docs: DataFrame, least: int = LEAST, hot: int = HOT, whole_cha
             _, texts_of, docs_of = _texts(held)
             with no_cycles():
                 _send(out, chunk, texts_of, docs_of.tolist(), value, flag, blocks, least)
+        settle()
         return _sent(out)
 
     def expand(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,6 +343,7 @@ def removed_spans(docs: DataFrame, least: int = LEAST, hot: int = HOT, whole_cha
         columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
         names = ["chunk", "number", "start", "stop"]
         yield pa.record_batch([pa.array(c, pa.int32() if n in ("chunk", "number") else pa.int64()) for c, n in zip(columns, names, strict=True)], names)
+        settle()
 
     def cut(held: pa.Table, spans: pa.Table) -> pa.Table:
         keys, values, docs_of = _texts(held) if held.num_rows else ([], [], np.zeros(0, np.int64))
