@@ -139,6 +139,15 @@ def test_similar_groups_of_odd_rows(odd, clashing, none):
     assert golay.one_of_each(none, golay.similar_groups(none)).count() == 0
 
 
+def test_similar_texts_meet_past_the_smallest_of_their_keys(spark):
+    words = [f"w{i}" for i in range(300)]
+    mixed = random.Random(1).sample(words, 300)
+    texts = [words, mixed, mixed[:299] + ["changed"]]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", None, 1) for i, t in enumerate(texts)], SCHEMA)
+    roots = {r.doc_id: r.root for r in golay.similar_groups(docs).collect()}
+    assert roots[1] == roots[2] != roots[0]
+
+
 # Repeated byte strings
 
 
