@@ -148,6 +148,44 @@ def test_similar_texts_meet_past_the_smallest_of_their_keys(spark):
     assert roots[1] == roots[2] != roots[0]
 
 
+def templated_rows(seed=6):
+    """Short and long texts with edits at all places, many of them around one licence."""
+    dice = random.Random(seed)
+    licence, texts = [f"l{i}" for i in range(60)], []
+    for i in range(160):
+        own = [f"w{dice.randrange(500)}" for _ in range(dice.choice([3, 12, 24, 60, 200]))]
+        base = licence + own[:30] if i % 3 == 0 else own
+        for _ in range(3):
+            edited = list(base)
+            for _ in range(dice.randint(0, 3)):
+                edited[dice.choice([0, -1, dice.randrange(len(edited))])] = f"e{dice.randrange(99)}"
+            texts.append(" ".join(edited))
+    dice.shuffle(texts)
+    return [(i, t, "en", None, 1) for i, t in enumerate(texts)]
+
+
+def plain_groups(rows, size=5, similarity=0.8):
+    parts = [t.split() for _, t, *_ in rows]
+    sets = [{tuple(p[i : i + size]) for i in range(max(1, len(p) - size + 1))} for p in parts]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return sorted({t: root[d] for d, t, *_ in rows}.values())
+
+
+def test_similar_groups_lose_no_pair(spark):
+    rows = templated_rows()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = golay.similar_groups(docs).collect()
+    least = {}
+    for r in found:
+        least[r.root] = min(r.doc_id, least.get(r.root, r.doc_id))
+    assert sorted(least[r.root] for r in found) == plain_groups(rows)
+
+
 # Repeated byte strings
 
 
