@@ -8,7 +8,7 @@ Characters that are no piece become their UTF-8 bytes. A pre-token (a run of spa
 follows up to the next space) never merges with its neighbours, and neither does a character that
 occurs in no longer piece, so each is encoded alone and kept by the worker (a bounded dictionary).
 Every newly met pre-token of an Arrow batch is also encoded and decoded by the library in one call;
-where the two differ, the library's ids are taken and the difference is counted.
+where the two differ, the query fails and names the first that does.
 
 Edge cases: null is empty and has no ids; the word mark in a text counts as a space, as in the
 library; rows that repeat are encoded each; an empty table gives no rows.
@@ -163,8 +163,9 @@ class PieceCodec:
         if not (np.array_equal(ids, right) and np.array_equal(counts, right_counts)):
             stops, ends = np.cumsum(counts), np.cumsum(right_counts)
             mine, own = np.split(ids, stops[:-1]), np.split(right, ends[:-1])
-            self.differing += sum(not np.array_equal(a, b) for a, b in zip(mine, own, strict=True))
-            ids, counts = right, right_counts
+            wrong = [t for t, a, b in zip(texts, mine, own, strict=True) if not np.array_equal(a, b)]
+            self.differing += len(wrong)
+            raise ValueError(f"{len(wrong)} pre-tokens differ from the library, the first is {wrong[0]!r}")
         decoded = plain_bytes(pc.binary_join(lists_of(self.decoded.take(pa.array(ids)), counts), b""))
         if b"".join(decoded)[1:] != self.library.decode(ids.tolist()).encode():
             raise ValueError("decoding differs from the library")

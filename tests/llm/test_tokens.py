@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hazardflow.llm import piece_codec, token_counts, token_rows, vector_packing, word_ids
@@ -55,6 +56,15 @@ def test_agenda_alone_is_exact(pieces):
     assert codec.differing == 0
 
 
+def test_a_wrong_agenda_is_an_error(pieces, monkeypatch):
+    codec = piece_codec.PieceCodec(tokenizer_path(PIECES))
+    right = codec.agendas
+    monkeypatch.setattr(codec, "agendas", lambda chunks: (right(chunks)[0][::-1], right(chunks)[1]))
+    with pytest.raises(ValueError, match="differ from the library"):
+        codec.encode(pa.array(["internationalisation of words"]))
+    assert codec.differing > 0
+
+
 @pytest.mark.parametrize("table", ["odd", "clashing"])
 def test_pieces_are_packed_whole(request, words, table):
     docs = request.getfixturevalue(table)
