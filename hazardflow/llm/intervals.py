@@ -255,6 +255,13 @@ def _texts(held: pa.Table) -> tuple[list[tuple[int, int]], list[bytes], np.ndarr
     return keys, [text[k] for k in keys], np.array([first[k] for k in keys], np.int64)
 
 
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and how often each is there (uint32: a chunk has fewer texts)."""
+    value = np.sort(values)
+    first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
+    return value[first], np.diff(np.append(first, len(value))).astype(np.uint32)
+
+
 def removed_spans(docs: DataFrame, least: int = LEAST, hot: int = HOT, whole_characters: bool = False) -> DataFrame:
     """One row per distinct text: k1, k2, doc_id (the smallest), spans (start, stop in bytes), kept (bytes).
 
@@ -270,10 +277,7 @@ def removed_spans(docs: DataFrame, least: int = LEAST, hot: int = HOT, whole_cha
         seen = [np.zeros(0, np.uint64)]
         for number, _, _, value in runs(values, least):
             seen.append(_once_per_text(value, number))
-        value = np.sort(np.concatenate(seen))
-        first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
-        times = np.minimum(np.diff(np.append(first, len(value))), 255).astype(np.uint8)
-        value = value[first]
+        value, times = _counted(np.concatenate(seen))
         bucket = (value >> np.uint64(32)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         value, times = value[order], times[order]
@@ -287,7 +291,7 @@ def removed_spans(docs: DataFrame, least: int = LEAST, hot: int = HOT, whole_cha
         held = pa.Table.from_batches(list(batches))
         hashes = [np.frombuffer(x, np.uint64) for x in held["hashes"].to_pylist()]
         value = np.concatenate(hashes)
-        times = np.frombuffer(b"".join(held["times"].to_pylist()), np.uint8).astype(np.int64)
+        times = np.frombuffer(b"".join(held["times"].to_pylist()), np.uint32).astype(np.int64)
         order = np.argsort(value, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], value[order][1:] != value[order][:-1]]))
         total_times = np.add.reduceat(times[order], first)

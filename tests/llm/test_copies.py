@@ -229,6 +229,14 @@ def test_hot_minimizers_and_small_parts(spark, monkeypatch):
     assert all(want[d] == sha for d, sha in kept.items())
 
 
+def test_counts_of_one_chunk_reach_the_hot_number():
+    many = intervals.HOT + 1
+    value, times = intervals._counted(np.array([7] * many + [3], np.uint64))
+    carried = np.frombuffer(times.tobytes(), np.uint32)
+    assert value.tolist() == [3, 7] and carried.tolist() == [1, many]
+    assert all(len(x) == 0 for x in intervals._counted(np.zeros(0, np.uint64)))
+
+
 def test_classes_are_those_of_equal_prefixes():
     dice = random.Random(8)
     for letters in (b"ab", b"abcdefghij"):
