@@ -9,6 +9,7 @@ from hazardflow.llm import (
     adaptive_rules,
     golay,
     intervals,
+    periodic_runs,
     piece_codec,
     pivot_index,
     quality_model,
@@ -105,3 +106,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return pivot_index.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(periodic_runs.with_period(table(spark, sf_dir, "documents")))
