@@ -164,7 +164,7 @@ def templated_rows(seed=6):
     return [(i, t, "en", None, 1) for i, t in enumerate(texts)]
 
 
-def plain_groups(rows, size=5, similarity=0.8):
+def similar_roots(rows, size=5, similarity=0.8):
     parts = [t.split() for _, t, *_ in rows]
     sets = [{tuple(p[i : i + size]) for i in range(max(1, len(p) - size + 1))} for p in parts]
     root = list(range(len(rows)))
@@ -183,7 +183,7 @@ def test_similar_groups_lose_no_pair(spark):
     least = {}
     for r in found:
         least[r.root] = min(r.doc_id, least.get(r.root, r.doc_id))
-    assert sorted(least[r.root] for r in found) == plain_groups(rows)
+    assert sorted(least[r.root] for r in found) == similar_roots(rows)
 
 
 # Repeated byte strings
