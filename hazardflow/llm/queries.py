@@ -13,6 +13,7 @@ from hazardflow.llm import (
     piece_codec,
     pivot_index,
     quality_model,
+    source_mix,
     token_counts,
     token_rows,
     unit_dedup,
@@ -111,3 +112,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_periodic_runs")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.report(periodic_runs.with_period(table(spark, sf_dir, "documents")))
+
+
+@query("op12_source_mix")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.taken(table(spark, sf_dir, "documents"))
