@@ -13,6 +13,7 @@ from hazardflow.llm import (
     piece_codec,
     pivot_index,
     quality_model,
+    source_audit,
     source_mix,
     token_counts,
     token_rows,
@@ -117,3 +118,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_source_mix")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.taken(table(spark, sf_dir, "documents"))
+
+
+@query("op13_source_audit", source_audit.REPORT_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.report(table(spark, sf_dir, "documents"))
