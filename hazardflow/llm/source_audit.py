@@ -16,7 +16,8 @@ Scale: terms are counted per batch and merged per task before the shuffle, so a
 a row per task. The terms of a language are dealt into blocks of about BLOCK terms by their hash, and
 a task holds one block of two groups: no array grows with the vocabulary. Block sums are added per
 pair. The pairs themselves are the result's size. The ten best terms of a group are kept by a rank
-limit that works before the shuffle. Nothing is collected or broadcast by hand.
+limit that works before the shuffle. Sizes of groups and languages reach the rows by broadcast up to a
+checked size, by salted keys beyond it, so a hot language is never one task.
 
 Edge cases: null text, language and source are empty; a group without terms (or without kept ones)
 still meets every other source of its language; a language without kept terms gives distance 0;
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardflow.llm.common import settle, sliced
+from hazardflow.operators.lookup import attach, attach_written
 from hazardflow.session import written
 
 MIN_DOCS = 10
@@ -186,7 +188,7 @@ def kept_terms(counts: DataFrame, min_docs: int = MIN_DOCS, block: int = BLOCK)
     known = counts.filter("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"))
     known = written(known.filter(F.col("docs") >= min_docs).drop("docs"), "audit-terms")
     tongues = known.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("total").alias("lang_n"))
-    placed = known.join(tongues, "lang").withColumn("block", F.expr(f"pmod(xxhash64(term), cast(ceil(kept / {block}) as bigint))"))
+    placed = attach(known, tongues, ["lang"]).withColumn("block", F.expr(f"pmod(xxhash64(term), cast(ceil(kept / {block}) as bigint))"))
     number = F.row_number().over(Window.partitionBy("lang", "block").orderBy("term"))
     return written(placed.withColumn("id", number), "audit-kept")
 
@@ -265,7 +267,7 @@ class Audit:
 
     def raised_terms(self, top: int = TOP) -> DataFrame:
         """lang, source, term, value and rank of the terms that a group has more of than its language, the `top` furthest."""
-        rows = self.terms.join(self.groups, ["lang", "source"])
+        rows = attach_written(self.terms, self.groups, ["lang", "source"])
         rows = rows.withColumns({"p": F.expr(share_sql("n", "whole")), "q": F.expr(share_sql("total", "lang_whole"))}).filter("p > q")
         value = F.expr("(p - q) * (p - q) div (p + q)").alias("value")
         best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "term")
