@@ -12,6 +12,7 @@ from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
     OneVsRest,
+    RandomForestClassificationModel,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -19,6 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hazardflow.models import forest_table
 from hazardflow.operators.lookup import attach
 from hazardflow.operators.metrics import class_weights, cv_stats, weighted_f1
 from hazardflow.schema import CLASS_NAMES, FEATURES, TARGET
@@ -199,9 +201,11 @@ def save_model(
     target: str = TARGET,
     class_names: Mapping[int, str] = CLASS_NAMES,
 ) -> None:
-    """Save the fitted pipeline and beside it one JSON row of metadata."""
+    """Save the fitted pipeline and beside it one JSON row of metadata, and a forest's nodes as a table."""
     spark = SparkSession.getActiveSession()
     model.write().overwrite().save(f"{path}/model")
+    if isinstance(model.stages[-1], RandomForestClassificationModel):
+        forest_table.exported(spark, f"{path}/model").write.mode("overwrite").parquet(f"{path}/nodes")
     row = (list(features), target, json.dumps(dict(class_names)), str(trained_at))
     schema = "feature_names array<string>, target_name string, class_names string, last_training_time string"
     spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
