@@ -121,6 +121,11 @@ def clean_table(
     if label:
         code = as_number(F.col(label)) if texts[label] == "string" else F.col(label).cast("double")
         numbers[label] = code.try_cast("int")
+    lost = [F.when(~is_missing(c, kinds[c]) & n.isNull(), 1).otherwise(0) for c, n in numbers.items() if texts[c] == "string"]
+    if own:
+        lost = [F.when(F.array_contains(own, c), n).otherwise(0) for c, n in zip([c for c in numbers if texts[c] == "string"], lost, strict=True)]
+    if lost:
+        distinct = distinct.withColumn("_coerced", sum(lost, F.lit(0)))
     base = written(distinct.withColumns(numbers), "distinct")
 
     stats = medians(base, numeric, [key]).withColumnsRenamed({c: f"_fill_{c}" for c in numeric})
@@ -140,7 +145,9 @@ def clean_table(
 
 
 def clean_stats(flagged: DataFrame, key: str = FILE_KEY) -> DataFrame:
+    """One row per file; tables read as text also tell `coerced`, the cells whose text was no number."""
     alive = ~F.col("_dead")
+    coerced = [F.sum(F.col("_coerced") * F.col(COPIES)).alias("coerced")] if "_coerced" in flagged.columns else []
     return (
         flagged.groupBy(key)
         .agg(
@@ -150,6 +157,7 @@ def clean_stats(flagged: DataFrame, key: str = FILE_KEY) -> DataFrame:
             F.count_if(F.col("_dead")).alias("zero_rows_removed"),
             F.sum(F.col("_missing") * F.col(COPIES)).alias("missing_before"),
             F.sum(F.when(alive, F.col("_left")).otherwise(0)).alias("missing_after"),
+            *coerced,
         )
         .withColumn("rows_removed", F.col("rows_before") - F.col("rows_after"))
     )

@@ -37,6 +37,11 @@ def join_stages(validated: DataFrame, cleaned: DataFrame, stored: DataFrame, key
     return validated.join(cleaned, key, "left").join(stored, key, "left")
 
 
+def for_every(files: DataFrame, stage: DataFrame, key: str = FILE_KEY) -> DataFrame:
+    """A stage table with a row for every file; files that gave it no rows count zero."""
+    return files.select(key).join(stage, key, "left").na.fill(0)
+
+
 def only_ok(frame: DataFrame, errors: DataFrame, key: str = FILE_KEY) -> DataFrame:
     """Rows of files that are not in the error table; rows do not move unless that table is large."""
     failed = errors.where(F.col(key).isNotNull()).select(key).distinct().withColumn("_failed", F.lit(True))

@@ -20,24 +20,26 @@ from hazardflow.sources import readers, writers
 
 
 def ingest(
-    spark: SparkSession, folder: str, out: str, run_id: str, now: str, measurement: str = "sensors"
+    spark: SparkSession, folder: str, out: str, run_id: str, now: str, measurement: str = "sensors", suffix: str = ".csv"
 ) -> dict[str, DataFrame]:
     """Read, validate, clean, store and report every CSV file of a folder.
 
     Writes <out>/clean, <out>/points and <out>/reports for the run; gives the
     stage tables (one row per file), the summary and the report head.
     """
-    rows, files = readers.read_csv_files(spark, folder)
+    rows, files = readers.read_csv_files(spark, folder, suffix=suffix)
     copies = written(row_copies(by_value(rows)), "copies")
     checked = written(quality.validate_files(copies, files), "validated")
 
     good = relate.only_ok(copies.drop(EXTRA_CELL), checked.where("status = 'error'"))
+    accepted = checked.where("status <> 'error'").select(FILE_KEY, "columns")
     cleaned, stats = clean.clean_table(good, files=files)
-    cleaned, stats = written(cleaned, "cleaned"), written(stats, "stats")
-    outputs = writers.write_clean(cleaned, f"{out}/clean/run_id={run_id}", run_id, files=files)
+    cleaned, stats = written(cleaned, "cleaned"), written(relate.for_every(accepted, stats), "stats")
+    outputs = writers.write_clean(cleaned, f"{out}/clean/run_id={run_id}", run_id, files=accepted)
     typed = attach(cleaned, checked.select(FILE_KEY, F.col("data_types").alias("_types")), [FILE_KEY])
     points = pts.to_points(typed, measurement, now=now, types="_types")
-    stored = written(writers.write_points(points, f"{out}/points", run_id), "stored")
+    stored = relate.for_every(accepted, writers.write_points(points, f"{out}/points", run_id))
+    stored = written(stored.na.fill({"status": "success"}), "stored")
 
     stages = relate.join_stages(checked, stats, stored.withColumnRenamed("status", "storage_status"))
     validation = quality.validation_summary(checked)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import csv
+import io
 import re
 from collections import defaultdict
 from collections.abc import Sequence
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hazardflow.functions.scalar import null_if_token
+from hazardflow.operators.lookup import attach_written
 from hazardflow.schema import EXTRA_CELL, FILE_KEY, NULL_TOKENS, REQUIRED, VARIANT
+from hazardflow.session import written
+from hazardflow.sources import records
 
 INDEX_COLUMNS = ("Unnamed: 0", "_c0")
-_ONE_FILE_PER_TASK = 1 << 40
 
 
 def list_inputs(spark: SparkSession, folder: str, suffix: str = ".csv") -> DataFrame:
@@ -40,26 +44,9 @@ def list_inputs(spark: SparkSession, folder: str, suffix: str = ".csv") -> DataF
     )
 
 
-def _header_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """First line of every file: one task per file that stops after its first batch."""
-
-    # Local, so that workers get it by value and need no copy of this package.
-    def first_line(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.slice(0, 1)
-                return
-
-    session = spark.newSession()
-    session.conf.set("spark.sql.files.maxPartitionBytes", str(_ONE_FILE_PER_TASK))
-    session.conf.set("spark.sql.files.openCostInBytes", str(_ONE_FILE_PER_TASK))
-    lines = session.read.text(list(paths)).select(F.col("_metadata.file_path").alias(FILE_KEY), "value")
-    return lines.mapInArrow(first_line, f"{FILE_KEY} string, value string")
-
-
-def header_names(line: str) -> list[str]:
-    """Column names of a header line: blanks are numbered, repeats get a suffix."""
-    cells = next(csv.reader([line.lstrip("﻿")]))
+def header_names(head: str) -> list[str]:
+    """Column names of a header record: blanks are numbered, repeats get a suffix."""
+    cells = next(csv.reader(io.StringIO(head.lstrip("﻿"), newline="")))
     names, seen = [], defaultdict(int)
     for i, cell in enumerate(cells):
         name = cell or f"Unnamed: {i}"
@@ -68,6 +55,53 @@ def header_names(line: str) -> list[str]:
     return names
 
 
+def _named_files(listed: DataFrame, splits: DataFrame) -> DataFrame:
+    """_file, path, bytes, columns, status, error and opened (a quoted cell holds a line break) of every file."""
+
+    @F.udf("struct<columns: array<string>, error: string>")
+    def resolved(head):  # once per file
+        try:
+            names = header_names(head or "")
+        except (csv.Error, StopIteration) as problem:
+            return [], f"unreadable header: {problem}"
+        return ([], "column names differ only in case") if len({n.lower() for n in names}) < len(names) else (names, None)
+
+    heads = splits.groupBy(FILE_KEY).agg(
+        F.max("head").alias("head"), F.max("opened").alias("opened"), F.max_by("ends_inside", "block").alias("unclosed")
+    )
+    joined = listed.join(heads, FILE_KEY, "left")
+    found = joined.withColumn("found", resolved("head"))
+    problem = F.when(F.col("unclosed"), "EOF inside a quoted cell").when(F.col("head").isNull(), "No columns to parse from file")
+    return found.select(
+        FILE_KEY,
+        "path",
+        "bytes",
+        F.when(problem.isNull(), F.col("found.columns")).otherwise(F.array().cast("array<string>")).alias("columns"),
+        F.coalesce(problem, F.col("found.error")).alias("error"),
+        F.coalesce("opened", F.lit(False)).alias("opened"),
+    ).withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("error"))
+
+
+def _told_apart(files: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Columns of different files whose names differ only in case stay different columns; all names in order.
+
+    The required spelling, else the first by file name, keeps its name; others
+    get a mark that outputs do not show. The driver sees each name once.
+    """
+    each = files.where("error IS NULL").select(FILE_KEY, F.posexplode("columns").alias("place", "name"))
+    first = each.groupBy("name").agg(F.min(F.struct(FILE_KEY, "place")).alias("first")).collect()
+    plain, marks, final = {n.lower(): n for n in REQUIRED}, {}, {}
+    ordered = sorted((tuple(r["first"]), r["name"]) for r in first)
+    for _, name in ordered:
+        kept = plain.setdefault(name.lower(), name) == name
+        final[name] = name if kept else f"{name}{VARIANT}{marks.setdefault(name, len(marks))}"
+    changed = {a: b for a, b in final.items() if a != b}
+    if changed:
+        marked = F.create_map(*[F.lit(x) for pair in changed.items() for x in pair])
+        files = files.withColumn("columns", F.transform("columns", lambda n: F.coalesce(F.element_at(marked, n), n)))
+    return files, [final[name] for _, name in ordered]
+
+
 def read_csv_files(
     spark: SparkSession,
     folder: str,
@@ -77,93 +111,58 @@ def read_csv_files(
     """Read every CSV file of a folder, whatever its header.
 
     Gives all rows as text with their file, and the file table
-    (file, path, bytes, columns, status, error). Files are read by groups with
-    the same header; a file that cannot be read is an error row. Only files
-    whose quoted cells hold line breaks are read whole, the others in splits.
-    Rows with more cells than the header show in the column `_extra`.
-    """
-    listed = list_inputs(spark, folder, suffix).collect()
-    sizes = {f[FILE_KEY]: f for f in listed}
-    full = [f["path"] for f in listed if f["bytes"]]
-    headers = {r[FILE_KEY]: r["value"] for r in _header_lines(spark, full).collect()} if full else {}
-    columns, errors = {}, {}
-    for file in sizes:
-        try:
-            names = header_names(headers[file])
-        except KeyError:
-            errors[file] = "No columns to parse from file"
-            continue
-        except (csv.Error, StopIteration) as problem:
-            errors[file] = f"unreadable header: {problem}"
-            continue
-        if len({n.lower() for n in names}) < len(names):
-            errors[file] = "column names differ only in case"
-        else:
-            columns[file] = names
-    columns = _told_apart(columns)
-    table = spark.createDataFrame(
-        [
-            (file, f["path"], f["bytes"], columns.get(file, []), "error" if file in errors else "ok", errors.get(file))
-            for file, f in sizes.items()
-        ],
-        f"{FILE_KEY} string, path string, bytes bigint, columns array<string>, status string, error string",
-    )
-    whole = _with_open_quotes(spark, full) if full else set()
-    groups = defaultdict(list)
-    for file, names in columns.items():
-        groups[tuple(names), file in whole].append(sizes[file]["path"])
-    rows = None
-    for (names, broken), paths in groups.items():
-        part = _read_group(spark, names, paths, null_tokens, broken)
-        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-    if rows is None:
-        rows = spark.createDataFrame([], f"{FILE_KEY} string, {EXTRA_CELL} string")
-    return rows, table
-
-
-def _told_apart(columns: dict[str, list[str]]) -> dict[str, list[str]]:
-    """Columns of different files whose names differ only in case stay different columns.
-
-    The required spelling, else the first by file name, keeps its name; others
-    get a mark that outputs do not show.
+    (file, path, bytes, columns, status, error). Cells are read by position, all
+    files in one scan, and named by a join with the file table; a file that cannot
+    be read is an error row. Files with line breaks in quoted cells are read in
+    splits too (`records`). Rows with more cells than the header show in the
+    column `_extra`.
     """
-    plain, marks = {n.lower(): n for n in REQUIRED}, {}
-    out = {}
-    for file in sorted(columns):
-        out[file] = []
-        for name in columns[file]:
-            if plain.setdefault(name.lower(), name) == name:
-                out[file].append(name)
-            else:
-                out[file].append(f"{name}{VARIANT}{marks.setdefault(name, len(marks))}")
-    return out
-
-
-def _with_open_quotes(spark: SparkSession, paths: Sequence[str]) -> set[str]:
-    """Files with a line that opens a quote and does not close it: their cells hold line breaks."""
-    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias(FILE_KEY), "value")
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"')))
-    return {r[FILE_KEY] for r in lines.where(quotes % 2 == 1).select(FILE_KEY).distinct().collect()}
-
-
-def _read_group(
-    spark: SparkSession, names: Sequence[str], paths: Sequence[str], null_tokens: Sequence[str], broken: bool = False
-) -> DataFrame:
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, EXTRA_CELL)])
-    cells = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", broken)
-        .csv(list(paths))
-    )
-    return cells.select(
-        *[null_if_token(F.col(f"`{n}`"), null_tokens).alias(n) for n in names],
-        EXTRA_CELL,
-        F.col("_metadata.file_path").alias(FILE_KEY),
-    )
+    listed = list_inputs(spark, folder, suffix)
+    full = [r["path"] for r in listed.where("bytes > 0").select("path").collect()]
+    states = records.split_states(records.lines_of(spark, full)) if full else None
+    splits = written(records.with_starts(states), "splits") if full else spark.createDataFrame([], SPLITS)
+    files, names = _told_apart(written(_named_files(listed, splits), "files"))
+    files = written(files, "files")
+    table = files.select(FILE_KEY, "path", "bytes", "columns", "status", "error")
+    if not names:
+        return spark.createDataFrame([], f"{FILE_KEY} string, {EXTRA_CELL} string"), table
+    good = files.where("error IS NULL")
+    shape = good.agg(F.max(F.size("columns")).alias("width"), F.count_distinct("columns").alias("headers")).first()
+    cells = _cells(spark, good, splits, shape["width"] + 1)
+    if shape["headers"] == 1:
+        own = good.select("columns").first()["columns"]
+        value = {n: F.get("cells", F.lit(own.index(n))) for n in names}
+        extra = F.get("cells", F.lit(len(own)))
+    else:
+        places = [(F.array_position("columns", n) - 1).cast("int") for n in map(F.lit, names)]
+        cells = attach_written(cells, written(good.select(FILE_KEY, F.array(*places).alias("_places"), F.size("columns").alias("_width")), "places"), [FILE_KEY])
+        value = {n: F.get("cells", F.get("_places", F.lit(i))) for i, n in enumerate(names)}
+        extra = F.get("cells", F.col("_width"))
+    tokens = [null_if_token(value[n], null_tokens).alias(n) for n in names]
+    return cells.select(*tokens, extra.alias(EXTRA_CELL), FILE_KEY), table
+
+
+def _cells(spark: SparkSession, good: DataFrame, splits: DataFrame, width: int) -> DataFrame:
+    """_file and cells (by position, `width` of them) of every row of the files."""
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    options = {"mode": "PERMISSIVE", "quote": '"', "escape": '"'}
+    cells = F.array(*[F.col(f"c{i}") for i in range(width)])
+    plain, opened = ([r["path"] for r in good.where(f).select("path").collect()] for f in ("NOT opened", "opened"))
+    parts = []
+    if plain:
+        rows = spark.read.schema(schema).options(header=True, **options).csv(plain)
+        parts.append(rows.select(F.col("_metadata.file_path").alias(FILE_KEY), cells.alias("cells")))
+    if opened:
+        texts = records.cut_records(records.lines_of(spark, opened), splits.select(FILE_KEY, "block", "starts_inside"))
+        parsed = texts.withColumn("c", F.from_csv("record", schema.simpleString()[7:-1].replace(":", " "), options))
+        parts.append(parsed.select(FILE_KEY, F.array(*[F.col(f"c.c{i}") for i in range(width)]).alias("cells")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+SPLITS = (
+    f"{FILE_KEY} string, block bigint, from_outside boolean, from_inside boolean, opened boolean, head string, "
+    "starts_inside boolean, ends_inside boolean"
+)
 
 
 def drop_index_column(frame: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from hazardflow.functions.scalar import output_name, own_name
 from hazardflow.operators.lookup import attach
 from hazardflow.operators.numbering import batch_index
 from hazardflow.schema import FEATURES, FILE_KEY
+from hazardflow.session import scratch_path
 from hazardflow.sources.readers import list_inputs
 
 
@@ -21,44 +22,55 @@ def write_run(frame: DataFrame, path: str, run_date: str) -> str:
     return target
 
 
-def _layouts(frame: DataFrame, files: DataFrame | None, key: str) -> list[tuple[DataFrame, list[str]]]:
-    """The rows by the columns their files have; one part when all files are alike."""
-    names = [c for c in frame.columns if c not in (key, "output_name")]
-    if files is None:
-        return [(frame, names)]
-    known = files.where("size(columns) > 0").select(key, F.col("columns").alias("_own"))
-    lists = sorted(r["_own"] for r in known.select("_own").distinct().collect())
-    if len(lists) < 2:
-        return [(frame, [c for c in names if not lists or c in lists[0]])]
-    tagged = attach(frame, known, [key])
-    return [
-        (tagged.where(F.col("_own") == F.array(*[F.lit(c) for c in own])), [c for c in own if c in names])
-        for own in lists
-    ]
+def output_names(files: DataFrame, run: str, key: str = FILE_KEY) -> DataFrame:
+    """(key, output_name) of each file; files whose names would be equal get a mark of their path."""
+    named = files.select(key, output_name(F.col(key), F.lit(run)).alias("plain"))
+    alike = named.groupBy(F.lower("plain").alias("low")).agg(F.count("*").alias("n")).where("n > 1")
+    marked = named.join(alike, F.lower("plain") == F.col("low"), "left")
+    own = F.concat_ws("_", "plain", F.when(F.col("n").isNotNull(), F.substring(F.md5(F.col(key).cast("binary")), 1, 8)))
+    return marked.select(key, own.alias("output_name"))
 
 
 def write_clean(frame: DataFrame, path: str, run: str, key: str = FILE_KEY, files: DataFrame | None = None) -> DataFrame:
     """Write each file's cleaned rows as CSV under its output name, with the columns it had.
 
-    Gives (output_name, parts, output_bytes). Files with the same columns
-    (`files`: key, columns) are written together. Rows are rebalanced by output,
-    so a large file is spread over several parts and small ones are not
-    scattered.
+    Gives (output_name, parts, output_bytes); without rows nothing is written. `files` (key, columns)
+    tells the columns of each file. Rows are dealt by layout (a distinct list of columns) once, then
+    each layout reads its own part only. They are rebalanced by output, so a large file is spread over
+    several parts and small ones are not scattered.
     """
-    named = frame.withColumn("output_name", output_name(F.col(key), F.lit(run)))
-    if set(frame.columns) <= {key}:  # no file could be read
-        return frame.sparkSession.createDataFrame([], "output_name string, parts bigint, output_bytes bigint")
-    for number, (rows, columns) in enumerate(_layouts(named, files, key)):
+    spark = frame.sparkSession
+    nothing = spark.createDataFrame([], "output_name string, parts bigint, output_bytes bigint")
+    names = [c for c in frame.columns if c != key]
+    if not names or frame.isEmpty():
+        return nothing
+    named = output_names(frame.select(key).distinct() if files is None else files, run, key)
+    if files is None:
+        rows, layouts = attach(frame, named, [key]), {0: names}
+    else:
+        known = files.where("size(columns) > 0").select(key, "columns")
+        lists = sorted(r["columns"] for r in known.select("columns").distinct().collect())  # one per distinct header
+        number = F.array_position(F.array(*[F.array(*[F.lit(c) for c in own]) for own in lists]), F.col("columns")) - 1
+        placed = known.select(key, number.cast("int").alias("layout"))
+        rows = attach(frame, named.join(placed, key), [key]).where("layout IS NOT NULL")
+        layouts = {i: [c for c in own if c in names] for i, own in enumerate(lists)}
+    if len(layouts) > 1:
+        dealt = scratch_path(spark, "layouts")
+        rows.hint("rebalance", "layout").write.partitionBy("layout").parquet(dealt)
+        rows = spark.read.parquet(dealt)
+        layouts = {i: layouts[i] for i in sorted(r["layout"] for r in rows.select("layout").distinct().collect())}
+    for layout, columns in layouts.items():
+        own = rows.where(F.col("layout") == layout) if len(layouts) > 1 else rows
         (
-            rows.select("output_name", *[F.col(f"`{c}`").alias(own_name(c)) for c in columns])
+            own.select("output_name", *[F.col(f"`{c}`").alias(own_name(c)) for c in columns])
             .hint("rebalance", "output_name")
             .write.mode("overwrite")
             .partitionBy("output_name")
             .option("header", True)
-            .csv(f"{path}/layout={number}")
+            .csv(f"{path}/layout={layout}")
         )
     return (
-        list_inputs(frame.sparkSession, f"{path}/layout=*/output_name=*")
+        list_inputs(spark, f"{path}/layout=*/output_name=*")
         .select(F.regexp_extract("path", r"output_name=([^/]+)/", 1).alias("output_name"), "bytes")
         .groupBy("output_name")
         .agg(F.count("*").alias("parts"), F.sum("bytes").alias("output_bytes"))
