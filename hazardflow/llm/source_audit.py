@@ -42,8 +42,8 @@ from hazardflow.session import written
 MIN_DOCS = 10
 SCALE_DIGITS = 9
 TOP = 10
-BLOCK = 1 << 16
-GATHER = 16 << 20
+BLOCK = 1 << 14
+GATHER = 8 << 20
 STRIDE = 64
 #: What each byte of a text becomes: letters lower-case, bytes beyond ASCII as they are, others a space.
 FOLDED = np.array([b if b >= 128 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256)], np.uint8)
