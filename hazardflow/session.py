@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -48,4 +49,22 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = scratch_path(spark, name)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    back = spark.read.schema(frame.schema).parquet(path)
+    back.scratch_folder = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of written frames once everything made from them is written too."""
+    for frame in frames:
+        folder = getattr(frame, "scratch_folder", None)
+        if folder is not None:
+            spark = frame.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are no longer held: it does so when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
