@@ -41,7 +41,7 @@ GRAM = 16
 CHUNK_BYTES = 8 << 20
 BLOCK_BYTES = 4 << 20
 SLICE = 1 << 20
-BWT_BYTES = 2 << 20
+BWT_BYTES = 1 << 19  # the arrays of one transform stay in the processor's caches
 HOT = 20_000
 LONGEST_RUN = 256
 END = 0xFF  # no byte of UTF-8 text
@@ -116,13 +116,13 @@ def window_classes(strings: list[bytes], least: int = LEAST) -> tuple[np.ndarray
     text = np.frombuffer(bytes([END]).join(strings) + bytes([END]) * (least + 16), np.uint8)
     n = sum(map(len, strings)) + len(strings)
     key = np.ndarray(n, ">u8", text, strides=(1,)).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     rank, depth = _ranks(key, order), 8
     while depth < least:
         follow = np.full(n, n, np.int64)
         follow[: n - depth] = rank[depth:]
         pair = rank * (n + 1) + follow
-        order = np.argsort(pair, kind="stable")
+        order = np.argsort(pair)
         rank, depth = _ranks(pair, order), 2 * depth
     inverse = np.empty(n, np.int64)
     inverse[order] = np.arange(n)
@@ -324,7 +324,7 @@ def removed_spans(docs: DataFrame, least: int = LEAST, hot: int = HOT, whole_cha
 
     def expand(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.Table.from_batches(list(batches)).combine_chunks()
-        done = np.array([w < 0 for w in held["windows"].to_pylist()])
+        done = held["windows"].to_numpy() < 0
         settled = held.filter(pa.array(done))
         parts = [(settled["chunk"].to_numpy(), settled["number"].to_numpy(), settled["start"].to_numpy(), settled["start"].to_numpy() - settled["windows"].to_numpy() + least - 1)]
         open_ = held.filter(pa.array(~done))
