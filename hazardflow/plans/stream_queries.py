@@ -9,7 +9,7 @@ from hazardflow.plans.registry import query
 from hazardflow.plans.score_queries import VALUE_BOUNDS
 from hazardflow.plans.views import DIRTY_SQL, EVENTS_SQL, SCORED_SQL, dirty, shaped_events, table, with_scores
 from hazardflow.session import scratch_path
-from hazardflow.streaming import streams
+from hazardflow.streaming import late, streams
 
 LATE = "1 hour"
 # A window is final once the watermark has passed its end.
@@ -150,3 +150,41 @@ def stream_sessions(spark, sf):
     out = streams.sensor_windows(_event_stream(spark, sf), "user_id", "value", gap="2 hours", late=LATE)
     done = _finished(spark, out, "sessions").withColumns({c: F.round(c, 4) for c in ("total", "mean")})
     return _naive(done, "window_start", "window_end")
+
+
+ARRIVALS_SQL = """arrived AS (SELECT event_id, event_type, ts, event_id % 3 AS arrival FROM events),
+tops AS (SELECT event_type, arrival, max(ts) AS top FROM arrived GROUP BY ALL),
+judged AS (
+  SELECT a.*, (SELECT max(top) FROM tops t WHERE t.event_type = a.event_type AND t.arrival < a.arrival) - INTERVAL 10 DAY AS late_before
+  FROM arrived a)"""
+
+
+def _arrivals(spark, sf):
+    """All events in three arrivals, each read by one run of the stream; late are rows ten days behind their type."""
+    folder = scratch_path(spark, "late")
+    rows = table(spark, sf, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    for arrival in range(3):
+        rows.where(F.col("event_id") % 3 == arrival).write.parquet(f"{folder}/in/arrival={arrival}")
+        stream = streams.ingest_stream(spark, f"{folder}/in/*", rows.schema)
+        late.split_late(stream, ["event_type"], folder, f"{folder}/checkpoint", "10 DAYS").awaitTermination()
+    return folder
+
+
+@query(
+    "stream_late_rows",
+    f"""WITH {ARRIVALS_SQL} SELECT event_id, event_type, ts, late_before, arrival FROM judged WHERE ts < late_before""",
+)
+def stream_late_rows(spark, sf):
+    """The rows of the side table, with the limit that they missed."""
+    found = spark.read.parquet(f"{_arrivals(spark, sf)}/late").withColumnsRenamed({"limit": "late_before"})
+    return _naive(found, "ts", "late_before").withColumn("arrival", F.col("batch").cast("bigint")).drop("batch")
+
+
+@query(
+    "stream_rows_in_time",
+    f"""WITH {ARRIVALS_SQL} SELECT event_type, arrival, count(*) AS rows, max(ts) AS newest FROM judged
+        WHERE late_before IS NULL OR ts >= late_before GROUP BY ALL""",
+)
+def stream_rows_in_time(spark, sf):
+    rows = _naive(spark.read.parquet(f"{_arrivals(spark, sf)}/rows"), "ts")
+    return rows.groupBy("event_type", F.col("batch").cast("bigint").alias("arrival")).agg(F.count("*").alias("rows"), F.max("ts").alias("newest"))
