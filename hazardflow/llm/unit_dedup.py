@@ -6,8 +6,8 @@ all others go; spans are character offsets into the original text, so kept and r
 found there.
 
 Scale: only digests and offsets are shuffled, never text; the first occurrence is a minimum merged
-per task, and only digests that occur more than once are joined back, hot ones split by the adaptive
-skew join.
+per task, and only digests that occur more than once are joined back; those met more than HOT times reach
+their rows by broadcast up to a checked size, by salted keys beyond it, so no digest is one task.
 
 Edge cases: null and empty texts have one empty unit; empty units always stay; rows of one id and
 one text are one document, and all its rows lose the same units; a null id ranks after all others;
@@ -23,8 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hazardflow.operators.lookup import attach_written
 from hazardflow.session import written
 
+HOT = 1000
 LINE = "\n"
 PARAGRAPH = "\n\n"
 UNIT = "array<struct<start: bigint, stop: bigint, digest: binary>>"
@@ -61,8 +63,13 @@ def removed_units(docs: DataFrame, between: str = LINE) -> DataFrame:
     who = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2", "place").alias("who")
     long = found.select("doc_id", "k1", "k2", F.posexplode("units").alias("place", "unit")).filter("unit.digest is not null")
     ranked = long.select("unit.digest", who, "unit.start", "unit.stop")
-    first = ranked.groupBy("digest").agg(F.min("who").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    gone = ranked.join(first, "digest").filter("first < who").select("who.doc_id", "who.k1", "who.k2", F.struct("start", "stop").alias("span")).distinct()
+    first = ranked.groupBy("digest").agg(F.min("who").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = written(first, "first-units")
+    hot = written(first.filter(F.col("n") > HOT).select("digest", F.col("first").alias("hot_first")), "hot-units")
+    marked = attach_written(ranked, hot, ["digest"])
+    common = marked.filter("hot_first is not null").withColumnRenamed("hot_first", "first")
+    rest = marked.filter("hot_first is null").drop("hot_first").join(first.filter(F.col("n") <= HOT).drop("n"), "digest")
+    gone = common.unionByName(rest).filter("first < who").select("who.doc_id", "who.k1", "who.k2", F.struct("start", "stop").alias("span")).distinct()
     spans = gone.groupBy("doc_id", "k1", "k2").agg(F.sort_array(F.collect_list("span")).alias("removed"))
     spans = spans.withColumnsRenamed({"doc_id": "id", "k1": "h1", "k2": "h2"})
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2"))
