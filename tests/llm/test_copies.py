@@ -299,3 +299,9 @@ def test_units_cut(spark, odd, clashing, none):
     assert got == {1: "x\n\ny y", 2: "z\n\n", 3: None}
     assert unit_dedup.cleaned_documents(clashing).columns == clashing.columns
     assert unit_dedup.report(odd).count() == len(odd_rows()) and unit_dedup.report(none).count() == 0
+
+
+def test_hot_units_are_joined_apart_with_equal_results(odd, monkeypatch):
+    plain = sorted(map(str, unit_dedup.report(odd).collect()))
+    monkeypatch.setattr(unit_dedup, "HOT", 1)
+    assert sorted(map(str, unit_dedup.report(odd).collect())) == plain
