@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +15,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
 }
+#: Spark's setting that deletes the shuffle files of a query when it ends.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(app: str = "hazardflow", master: str | None = None, **conf: str) -> SparkSession:
@@ -40,15 +44,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside delete their shuffle files at their end, not when the driver collects garbage.
+
+    The setting goes back to what it was, so the caller's own queries keep theirs.
+    """
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREED)
+        else:
+            spark.conf.set(FREED, before)
+
+
 def written(frame: DataFrame, name: str) -> DataFrame:
     """Write a frame once and read it back.
 
     Cuts the lineage with files that outlive any executor, and gives the
-    optimizer the true size of the table.
+    optimizer the true size of the table. The shuffle files behind it go at once.
     """
     spark = frame.sparkSession
     path = scratch_path(spark, name)
-    frame.write.parquet(path)
+    with shuffles_freed(spark):
+        frame.write.parquet(path)
     back = spark.read.schema(frame.schema).parquet(path)
     back.scratch_folder = path
     return back
