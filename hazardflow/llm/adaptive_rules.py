@@ -3,23 +3,31 @@
 Every document has shares (symbols, upper case, repeated lines, repeated words) and a mean word
 length. Their distributions are kept as mergeable quantile sketches: counts of logarithmic buckets
 (relative error RATIO), so sketches of any two sets merge by adding counts, exactly and in any order.
-The sketch of a group (language and source) merges into that of its language and of all documents;
-groups below MIN_DOCS take the next wider one. A document is rejected when a value lies further
-above the group's median than SPREAD times the distance from its 10 % quantile to the median, and
-at least the slack of that value: only the lower half is used, so up to half of a group may be junk.
+The sketch of a group (language and source) merges into that of its language and of all documents.
+
+Bounds come from the sketches alone. The middle of a group is its median, its width the distance from
+its 10 % to its 90 % quantile, held between half and twice the width of its language, so that neither
+a source full of junk nor one of equal texts sets its own scale; groups below MIN_DOCS take the next wider
+sketch. A value is out when it lies more than SPREAD widths above the median (word length: also below).
+A share of a short text is a count of few: the counted values may exceed what the bound expects of
+a text of that size by DEVIATIONS standard deviations of a Poisson count of events, where one event
+adds GRAIN to the count (a repeated window: two times three words). Up to half of a group may be junk, and up
+to a tenth of its language. `rejections` counts what each bound rejects per group.
 
 Scale: two scans; buckets are counted per task before they are shuffled, so a hot group is a few
 hundred rows per task. The thresholds are written once and joined by group (null-safe).
 
 Edge cases: null and empty texts have no words and fail the base rule; null language or source is a
 group of its own; rows that repeat are judged each; an empty table gives no rows; columns of the
-input that have the names of results do not matter, as only doc_id, text, lang and source are read.
+input that have the names of results do not matter, as only doc_id, text, lang and source are read;
+very long texts are counted whole, in slices of an Arrow batch; a value equal to its bound is kept.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +41,20 @@ from hazardflow.session import written
 RATIO = 0.02
 LOWEST = 1e-4
 MIN_DOCS = 100
-SPREAD = 4.0
+LOW, HIGH = 0.1, 0.9
+SPREAD = 3.0
+DEVIATIONS = 3.0
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words"]
-#: The least distance from a median that can reject.
-SLACK = {"symbol_share": 0.03, "upper_share": 0.2, "dup_line_share": 0.5, "repeat_share": 0.35, "word_length": 4.0}
+#: Part and whole of each value that counts events, and what one event adds to the part.
+SHARES = {
+    "symbol_share": ("n_symbols", "word_chars"),
+    "upper_share": ("n_upper", "word_chars"),
+    "dup_line_share": ("n_dup_lines", "n_lines"),
+    "repeat_share": ("n_repeat_words", "n_words"),
+}
+GRAIN = {"symbol_share": 1, "upper_share": 1, "dup_line_share": 1, "repeat_share": 6}
+LENGTH = "word_length"
+CONTRACT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 
 def counts_column(text: str = "text") -> Column:
@@ -63,13 +81,7 @@ def _share(part: str, whole: str) -> Column:
 
 
 def values() -> dict[str, Column]:
-    return {
-        "symbol_share": _share("n_symbols", "word_chars"),
-        "upper_share": _share("n_upper", "word_chars"),
-        "dup_line_share": _share("n_dup_lines", "n_lines"),
-        "repeat_share": _share("n_repeat_words", "n_words"),
-        "word_length": _share("word_chars", "n_words"),
-    }
+    return {**{k: _share(*parts) for k, parts in SHARES.items()}, LENGTH: _share("word_chars", "n_words")}
 
 
 def base_failed() -> Column:
@@ -97,22 +109,21 @@ def quantiles(sketch: DataFrame, keys: list[str], ranks: dict[str, float]) -> Da
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
-    """lang, source and one upper bound per value."""
+    """lang, source, an upper bound per value, and a lower one of the word length."""
     sketch = written(sketches(rows), "sketches")
-    ranks = {"low": 0.1, "mid": 0.5}
+    ranks = {"low": LOW, "mid": 0.5, "high": HIGH}
     own = quantiles(sketch, ["lang", "source"], ranks)
-    tongue = quantiles(sketch, ["lang"], ranks).withColumnsRenamed({"lang": "lang2", "docs": "docs2", "low": "low2", "mid": "mid2"})
-    every = quantiles(sketch, [], ranks).select("name", F.col("low").alias("low3"), F.col("mid").alias("mid3"))
-    both = own.join(tongue.withColumnRenamed("name", "name2"), F.col("lang").eqNullSafe(F.col("lang2")) & (F.col("name") == F.col("name2")))
-    joined = both.join(every, "name")
-
-    def pick(what: str) -> Column:
-        wide = F.when(F.col("docs2") >= MIN_DOCS, F.col(f"{what}2")).otherwise(F.col(f"{what}3"))
-        return F.when(F.col("docs") >= MIN_DOCS, F.col(what)).otherwise(wide)
-
-    slack = F.create_map(*[F.lit(x) for pair in SLACK.items() for x in pair])[F.col("name")]
-    bound = pick("mid") + F.greatest(SPREAD * (pick("mid") - pick("low")), slack)
-    return joined.groupBy("lang", "source").agg(*[F.max(F.when(F.col("name") == k, bound)).alias(f"max_{k}") for k in SLACK])
+    tongue = quantiles(sketch, ["lang"], ranks).withColumnsRenamed({"lang": "lang2", "name": "name2", "docs": "docs2", **{k: f"{k}2" for k in ranks}})
+    every = quantiles(sketch, [], ranks).drop("docs").withColumnsRenamed({k: f"{k}3" for k in ranks})
+    both = own.join(tongue, F.col("lang").eqNullSafe(F.col("lang2")) & (F.col("name") == F.col("name2")))
+    wide = {k: F.when(F.col("docs2") >= MIN_DOCS, F.col(f"{k}2")).otherwise(F.col(f"{k}3")).alias(f"wide_{k}") for k in ranks}
+    near = {k: F.when(F.col("docs") >= MIN_DOCS, F.col(k)).otherwise(F.col(f"wide_{k}")).alias(k) for k in ranks}
+    picked = both.join(every, "name").select("lang", "source", "name", "docs", *ranks, *wide.values())
+    picked = picked.select("lang", "source", "name", *near.values(), (F.col("wide_high") - F.col("wide_low")).alias("scale"))
+    width = F.least(F.greatest(F.col("high") - F.col("low"), F.col("scale") / 2), F.col("scale") * 2)
+    bound = {"max": F.col("mid") + SPREAD * width, "min": F.col("mid") - SPREAD * width}
+    wanted = [*[("max", k) for k in [*SHARES, LENGTH]], ("min", LENGTH)]
+    return picked.groupBy("lang", "source").agg(*[F.max(F.when(F.col("name") == k, bound[side])).alias(f"{side}_{k}") for side, k in wanted])
 
 
 def _with_bounds(rows: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -121,19 +132,38 @@ def _with_bounds(rows: DataFrame, bounds: DataFrame) -> DataFrame:
     return rows.join(bounds, same, "left").drop("lang of bounds", "source of bounds")
 
 
+def _outside() -> dict[str, Column]:
+    """Whether a row is beyond a bound, by the bound; a group without a sketch has no bounds."""
+    out = {}
+    for name, (part, whole) in SHARES.items():
+        expected = F.col(f"max_{name}") * F.col(whole)
+        grain = GRAIN[name]
+        chance = DEVIATIONS * F.sqrt(grain * expected) + DEVIATIONS**2 * grain
+        out[f"max_{name}"] = F.col(part) > expected + chance
+    length = values()[LENGTH]
+    out[f"max_{LENGTH}"] = length > F.col(f"max_{LENGTH}")
+    out[f"min_{LENGTH}"] = length < F.col(f"min_{LENGTH}")
+    return {k: F.coalesce(v, F.lit(False)) for k, v in out.items()}
+
+
 def _inside() -> Column:
-    inside = F.lit(True)
-    for name, value in values().items():
-        inside = inside & F.coalesce(value <= F.col(f"max_{name}"), F.lit(True))
-    return inside
+    return ~reduce(Column.__or__, _outside().values())
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, counts, values, bounds, base_failed and kept of every row."""
+    """Of every row the columns of CONTRACT, then lang, source, other counts, values, bounds and the names of the bounds it breaks."""
     rows = written(metrics(docs), "metrics")
     joined = _with_bounds(rows, written(thresholds(rows), "thresholds"))
-    full = joined.withColumns({**values(), "base_failed": base_failed()})
-    return full.withColumn("kept", ~F.col("base_failed") & _inside())
+    broken = F.filter(F.array(*[F.when(v, F.lit(k)) for k, v in _outside().items()]), lambda x: x.isNotNull())
+    full = joined.withColumns({**values(), "base_failed": base_failed(), "broken": F.concat_ws(",", broken), "kept": ~base_failed() & _inside()})
+    return full.select(*CONTRACT, *[c for c in full.columns if c not in CONTRACT])
+
+
+def rejections(judged_rows: DataFrame) -> DataFrame:
+    """lang, source, docs that pass the base rule, and how many of them each bound rejects."""
+    rows = judged_rows.filter(~F.col("base_failed")).withColumn("broken", F.split("broken", ","))
+    names = _outside()
+    return rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("docs"), *[F.count_if(F.array_contains("broken", k)).alias(k) for k in names])
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:

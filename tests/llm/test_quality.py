@@ -114,6 +114,65 @@ def test_sketches_merge_and_hold_their_error(spark):
         assert got == pytest.approx(sorted(values)[math.ceil(rank * 3000) - 1], rel=adaptive_rules.RATIO)
 
 
+def plain_verdicts(rows):
+    """Verdicts by plain lists: the same quantiles of bucket middles, group by group."""
+    shares = {"symbol": ("n_symbols", "word_chars", 1), "upper": ("n_upper", "word_chars", 1), "dup_line": ("n_dup_lines", "n_lines", 1), "repeat": ("n_repeat_words", "n_words", 6)}
+
+    def middle(x):
+        return 0.0 if x < adaptive_rules.LOWEST else adaptive_rules.LOWEST * (1 + adaptive_rules.RATIO) ** (math.floor(math.log(x / adaptive_rules.LOWEST) / math.log1p(adaptive_rules.RATIO)) + 0.5)
+
+    def value(r, part, whole):
+        return r[part] / r[whole] if r[whole] else 0.0
+
+    def cuts(group, part, whole):
+        found = sorted(middle(value(r, part, whole)) for r in group)
+        return [found[math.ceil(q * len(found) - 1e-9) - 1] for q in (0.1, 0.5, 0.9)]
+
+    good = [r for r in rows if not r.base_failed]
+    out = {}
+    for r in rows:
+        own = [x for x in good if (x.lang, x.source) == (r.lang, r.source)]
+        tongue = [x for x in good if x.lang == r.lang]
+        wide = tongue if len(tongue) >= adaptive_rules.MIN_DOCS else good
+        near = own if len(own) >= adaptive_rules.MIN_DOCS else wide
+        broken = r.base_failed
+        for part, whole, grain in [*shares.values(), ("word_chars", "n_words", 0)]:
+            if r.base_failed:
+                break
+            (low, mid, high), (low2, _, high2) = cuts(near, part, whole), cuts(wide, part, whole)
+            width = min(max(high - low, (high2 - low2) / 2), 2 * (high2 - low2))
+            if grain:
+                expected = (mid + 3 * width) * r[whole]
+                broken |= r[part] > expected + 3 * math.sqrt(grain * expected) + 9 * grain
+            else:
+                broken |= not mid - 3 * width <= value(r, part, whole) <= mid + 3 * width
+        out[r.doc_id] = not broken
+    return out
+
+
+@pytest.mark.parametrize("least", [100, 20, 1000])
+def test_verdicts_against_brute_force(spark, prose, monkeypatch, least):
+    monkeypatch.setattr(adaptive_rules, "MIN_DOCS", least)
+    docs, _ = prose
+    words = "ab cdefg hijk lmnopq rst uvwxy".split()
+    odd = [(1000 + i, " ".join(words[(i + j * j) % 6] * (1 + i % 4) + str(i * j) for j in range(52 + i)), None if i % 2 else "xx", None, 1) for i in range(40)]
+    odd += [(2000, " ".join(f"{'w' * 40}{i}" for i in range(60)), "en", "s0", 1), (2001, " ".join(chr(97 + i % 26) for i in range(60) for _ in "a") , "en", "s0", 1)]
+    rows = adaptive_rules.judged(docs.union(spark.createDataFrame(odd, SCHEMA))).collect()
+    assert {r.doc_id: r.kept for r in rows} == plain_verdicts(rows)
+    assert {r.kept for r in rows} == {True, False}
+    assert all(bool(r.broken) != r.kept for r in rows if not r.base_failed)
+
+
+def test_bounds_follow_groups_and_rejections_add_up(prose):
+    docs, _ = prose
+    rows = adaptive_rules.judged(docs)
+    assert rows.columns[:8] == adaptive_rules.CONTRACT
+    assert rows.select("max_word_length").distinct().count() == 3
+    told = adaptive_rules.rejections(rows).collect()
+    assert sum(r.docs for r in told) == rows.filter("not base_failed").count()
+    assert sum(r.max_symbol_share for r in told) == rows.filter("broken like '%max_symbol_share%' and not base_failed").count() > 0
+
+
 def test_rules_on_empty_and_clashing(none, clashing):
     assert adaptive_rules.judged(none).count() == 0 and adaptive_rules.kept_documents(none).count() == 0
     assert adaptive_rules.kept_documents(clashing).columns == clashing.columns
