@@ -88,7 +88,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_unit_dedup", unit_dedup.REPORT_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unit_dedup.report(table(spark, sf_dir, "documents"))
+    return unit_dedup.report(table(spark, sf_dir, "documents"), unit_dedup.SENTENCE, unit_dedup.LEAST)
 
 
 @query(

@@ -301,6 +301,47 @@ def test_units_cut(spark, odd, clashing, none):
     assert unit_dedup.report(odd).count() == len(odd_rows()) and unit_dedup.report(none).count() == 0
 
 
+def plain_sentences(text):
+    """Units letter by letter: each ends after a line break, or after marks that a space, a line break or the end follows."""
+    out, at, i = [], 0, 0
+    while i < len(text):
+        stop = text[i] == "\n"
+        if text[i] in ".!?" and (i + 1 == len(text) or text[i + 1] in " \n"):
+            i, stop = min(i + 1, len(text) - 1), True
+        i += 1
+        if stop:
+            out.append((at, text[at:i]))
+            at = i
+    return out + [(at, text[at:])] * (at < len(text))
+
+
+def test_sentences_of_lines(spark, odd, clashing, none):
+    dice = random.Random(8)
+    texts = ["".join(dice.choice("ab .!?\n") for _ in range(dice.randint(0, 40))) for _ in range(500)] + ["3.14 is. a?!b ... \n\n.", "x" * 99 + "."]
+    for text in texts:
+        assert list(unit_dedup.pieces(text, unit_dedup.SENTENCE)) == plain_sentences(text)
+    passage = " ".join(f"w{i}" for i in range(12)) + ". And Then it goes on for more than eight words here!"
+    own = [f"Start {i} of a line {passage} {'short one. ' * 2}End {i}.\nLast" for i in range(30)]
+    rows = [(i, t, None, None, 0) for i, t in enumerate(own)] + [(40, None, None, None, 0), (41, "", None, None, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in unit_dedup.report(docs, unit_dedup.SENTENCE, unit_dedup.LEAST).collect()}
+    first, want = set(), {}
+    for i, text in enumerate(own):
+        spans = []
+        for at, unit in plain_sentences(text):
+            plain = tuple(unit.lower().split())
+            if len(plain) >= unit_dedup.LEAST and plain in first:
+                spans.append(f"{at}-{at + len(unit)}")
+            first.add(plain)
+        want[i] = ",".join(spans)
+    assert {i: got[i].spans for i in range(30)} == want and got[0].n_removed == 0 and got[1].n_removed == 1
+    assert got[40].n_units == got[41].n_units == 0
+    cut = {r.doc_id: r.text for r in unit_dedup.cleaned_documents(docs, unit_dedup.SENTENCE, unit_dedup.LEAST).collect()}
+    assert cut[0] == own[0] and cut[1] == own[1].replace("And Then it goes on for more than eight words here! ", "") and cut[40] is None
+    assert unit_dedup.report(odd, unit_dedup.SENTENCE).count() == len(odd_rows()) and unit_dedup.report(none, unit_dedup.SENTENCE).count() == 0
+    assert unit_dedup.cleaned_documents(clashing, unit_dedup.SENTENCE).columns == clashing.columns
+
+
 def test_hot_units_are_joined_apart_with_equal_results(odd, monkeypatch):
     plain = sorted(map(str, unit_dedup.report(odd).collect()))
     monkeypatch.setattr(unit_dedup, "HOT", 1)
