@@ -31,10 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardflow.llm.common import as_bytes, no_cycles, plain_bytes, settle, sliced
+from hazardflow.session import written
 
 LEAST = 50
 GRAM = 16
@@ -480,18 +481,36 @@ def report(docs: DataFrame, least: int = LEAST) -> DataFrame:
     )
 
 
+def _cut_out(text: Column, spans: Column) -> Column:
+    """The text without the byte ranges of `spans` (sorted, apart, whole characters; null: none)."""
+    data = text.cast("binary")
+    spans = F.coalesce(spans, F.array().cast("array<struct<start: long, stop: long>>"))
+
+    def piece(i: Column) -> Column:
+        begin = F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["stop"].cast("int"))
+        stop = F.when(i == F.size(spans), F.octet_length(text)).otherwise(F.get(spans, i)["start"].cast("int"))
+        return F.substring(data, begin + 1, stop - begin).cast("string")
+
+    pieces = F.transform(F.sequence(F.lit(0), F.size(spans)), piece)
+    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(pieces, ""))
+
+
 def cleaned_documents(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The rows with repeated passages cut out of their text (whole characters only).
 
-    All columns stay; n_chars, if there is one, is counted anew.
+    All columns stay; n_chars, if there is one, is counted anew. The spans are written as a narrow
+    table and joined to the rows by its true size; the cut texts themselves are not shuffled.
     """
     names = docs.columns
-    found = removed_spans(docs, least, whole_characters=True).select("k1", "k2", F.col("doc_id").alias("first_id"), "spans", "kept")
+    found = removed_spans(docs, least, whole_characters=True).select("k1", "k2", F.col("doc_id").alias("first_id"), "spans")
+    found = written(found, "spans")
+    whole = F.col("row")["text"]
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), "text", F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"))
-    joined = rows.join(found.filter("size(spans) > 0 or octet_length(kept) >= %d" % least).drop("spans"), ["k1", "k2"], "left")
-    copy = (F.col("doc") > F.col("first_id")) & (F.octet_length("text") >= least)
-    cut = F.when(F.col("doc").isNull() | F.col("first_id").isNull() | F.col("text").isNull(), F.col("text")).when(copy, F.lit("")).otherwise(F.col("kept").cast("string"))
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"))
+    joined = rows.join(found, ["k1", "k2"], "left")
+    doc = F.col("row")["doc_id"].cast("long")
+    copy = (doc > F.col("first_id")) & (F.octet_length(whole) >= least)
+    cut = F.when(doc.isNull() | F.col("first_id").isNull() | whole.isNull(), whole).when(copy, F.lit("")).otherwise(_cut_out(whole, F.col("spans")))
     cleaned = joined.select("row", cut.alias("cut"))
     columns = {n: F.col("row").getField(n) for n in names} | {"text": F.col("cut")}
     if "n_chars" in columns:

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from hazardflow.llm import golay, intervals, unit_dedup
 from hazardflow.llm.components import components
@@ -262,6 +263,20 @@ def test_cut_documents(spark, odd, clashing, none):
     assert intervals.cleaned_documents(none).count() == 0 and intervals.report(none).count() == 0
 
 
+def test_cut_texts_are_what_the_spans_leave(spark, odd):
+    docs = odd.filter("doc_id is not null")
+    spans = {(r.k1, r.k2): r for r in intervals.removed_spans(docs, whole_characters=True).collect()}
+    keyed = docs.join(intervals.keyed_texts(docs).select("doc_id", "k1", "k2").distinct(), "doc_id")
+    want = set()
+    for r in keyed.collect():
+        one = spans[r.k1, r.k2]
+        copy = r.doc_id > one.doc_id and len((r.text or "").encode()) >= 50
+        want.add((r.doc_id, None if r.text is None else "" if copy else bytes(one.kept).decode()))
+    assert {(r.doc_id, r.text) for r in intervals.cleaned_documents(docs).collect()} == want
+    many = spark.createDataFrame([("aéb日c", [(0, 1), (3, 4)]), ("aéb日c", []), ("aéb日c", None), ("日", [(0, 3)]), ("", [])], "t string, s array<struct<start: long, stop: long>>")
+    assert [r[0] for r in many.select(intervals._cut_out(F.col("t"), F.col("s"))).collect()] == ["é日c", "aéb日c", "aéb日c", "", ""]
+
+
 # Units
 
 
