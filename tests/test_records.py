@@ -48,6 +48,26 @@ def test_splits_give_the_records_of_one_reader(spark, tmp_path, size):
     assert found == want
 
 
+def test_files_beside_others_keep_all_rows(spark, tmp_path):
+    """Spark cuts one file alone finer than the same file among others; no row may be lost by that."""
+    quoted = "a,b\n" + "".join(f'{i},"x\ny"\n' for i in range(9000))
+    (tmp_path / "quoted.csv").write_text(quoted)
+    (tmp_path / "plain.csv").write_text("a,b\n" + "1,2\n" * 200_000)
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.openCostInBytes", "0")
+    rows, _ = readers.read_csv_files(session, str(tmp_path))
+    assert {r[0]: r[1] for r in rows.groupBy("b").count().collect()} == {"x\ny": 9000, "2": 200_000}
+    assert rows.where("b <> '2'").select("a").distinct().count() == 9000
+
+
+def test_a_split_without_a_start_is_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n" + '1,"x\ny"\n' * 40)
+    paths = [str(tmp_path / "a.csv")]
+    splits = records.with_starts(records.split_states(records.lines_of(small_splits(spark, 50), paths)))
+    with pytest.raises(Exception, match="a split of unknown start"):
+        records.cut_records(records.lines_of(small_splits(spark, 64), paths), splits).collect()
+
+
 def test_split_states(spark, tmp_path):
     (tmp_path / "a.csv").write_text('h,i\n1,"x\n' + "inside\n" * 40 + 'y"\n2,3\n')
     session = small_splits(spark, 50)
