@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from hazardflow.operators import numbering, split
 from hazardflow.operators.lookup import attach
 from hazardflow.operators.numbering import batch_index, position_in_group, write_batch
+from hazardflow.session import shared_dir
 
 
 def check_positions(frame, group, order, out):
@@ -107,6 +108,36 @@ def test_many_classes(spark):
     assert out.where("is_test").groupBy("c").count().agg(F.max("count")).first()[0] == 1
 
 
+@pytest.mark.parametrize("large", [0, 60, 1_000])
+def test_many_classes_are_placed_like_few(spark, large):
+    """Ranks of small classes, cuts of large ones: the same parts, with null classes and keys that repeat."""
+    frame = spark.range(3000).select(
+        F.when(F.col("id") % 13 != 0, F.sqrt("id").cast("int") % 40).alias("c"), (F.col("id") - F.col("id") % 3).alias("k"), F.create_map("id", F.lit("x")).alias("m")
+    )
+
+    def halves(classes):
+        return split.test_sizes(classes, 0.3).withColumn("_targets", F.array("test_rows"))
+
+    def thirds(classes):
+        return split.fold_sizes(classes, 3).withColumn("_targets", F.array(F.col("fold_rows")[0], F.col("fold_rows")[0] + F.col("fold_rows")[1]))
+
+    for parts, cuts in ((halves, 1), (thirds, 2)):
+        few = split._by_hash_rank(frame, "c", "k", 1, parts, cuts, "part")
+        many = split._by_hash_rank(frame, "c", "k", 1, parts, cuts, "part", many_classes=4, large_class=large)
+        assert few.columns == many.columns == ["c", "k", "m", "part"]
+        assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+
+
+def test_many_classes_need_no_histogram(spark):
+    """A histogram of many small classes is as large as the table, and cuts for each were copied once per salt."""
+    frame = spark.range(15_000).select((F.col("id") % 5000).alias("c"), "id")
+    out = split.stratified_split(frame, "c", "id")
+    folder = shared_dir(spark)
+    assert out.groupBy("is_test").count().where("is_test").first()["count"] == 3000
+    read = [f for f in out.inputFiles()]
+    assert read and not any("/cuts-" in f for f in read) and folder in read[0].replace("file://", "")
+
+
 def test_positions_by_names_with_a_common_start(spark):
     frame = spark.range(20_000).select(F.format_string("sensor-%010d", F.col("id") * 7919 % 20_000).alias("n"), F.lit(None).cast("string").alias("z"))
     out = position_in_group(frame, [], ["z", "n"], buckets=16)
