@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hazardflow.functions.scalar import confidence, risk_level
-from hazardflow.operators.lookup import attach_written, named
+from hazardflow.operators.lookup import BROADCAST_BYTES, attach_written, named, table_bytes
 from hazardflow.operators.quantiles import exact_quantiles
 from hazardflow.schema import FEATURES, TARGET
 from hazardflow.session import written
@@ -34,6 +34,7 @@ BINS = 32
 DECIMALS = 9
 SHARE = 1_000_000_000
 LEAST_GAIN = 1e-9
+NODE_BITS = 40
 NODE_SCHEMA = (
     "tree int, node bigint, depth int, feature string, place int, cut double, left bigint, right bigint, gain double, votes array<double>"
 )
@@ -45,20 +46,32 @@ def drawn_limits(most: int = 9) -> list[int]:
     return [int((1 << 32) * sum(chances[: i + 1])) for i in range(most)]
 
 
+def _digits(*parts: Column) -> Column:
+    """Eight hexadecimal digits from the MD5 of the parts, joined by strokes."""
+    return F.substring(F.md5(F.concat_ws("/", *parts).cast("binary")), 1, 8)
+
+
 def _number(*parts: Column) -> Column:
     """A number below 2**32 from the MD5 of the parts, joined by strokes."""
-    return F.conv(F.substring(F.md5(F.concat_ws("/", *parts).cast("binary")), 1, 8), 16, 10).cast("bigint")
+    return F.conv(_digits(*parts), 16, 10).cast("bigint")
 
 
 def _draws(key: Column, trees: int, seed: int) -> Column:
-    """How often each tree draws the row."""
-    limits = F.array(*[F.lit(x).cast("bigint") for x in drawn_limits()])
+    """How often each tree draws the row.
+
+    The digits are made in a step of their own: an expression inside a lambda is evaluated at each use.
+    Digits of one length compare as their numbers do.
+    """
+    limits = [f"{x:08x}" for x in drawn_limits()]
+    digits = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: _digits(F.lit(str(seed)), tree.cast("string"), key))
 
-    def times(tree: Column) -> Column:
-        number = _number(F.lit(str(seed)), tree.cast("string"), key)
-        return F.size(F.filter(limits, lambda x: x <= number))
+    def times(own: Column) -> Column:
+        found = F.when(own < limits[0], 0)
+        for i, limit in enumerate(limits[1:], 1):
+            found = found.when(own < limit, i)
+        return found.otherwise(len(limits))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), times)
+    return F.transform(digits, times)
 
 
 def _tried(features: int, tries: int, seed: int) -> Column:
@@ -77,11 +90,15 @@ def _tried(features: int, tries: int, seed: int) -> Column:
 def _bins(cuts: dict[str, list[float]], features: Sequence[str]) -> Column:
     """The number of cuts below the value of each feature."""
 
-    def place(name: str) -> Column:
-        edges = F.array(*[F.lit(c) for c in cuts[name]]).cast("array<double>")
-        return F.size(F.filter(edges, lambda c: c < named(name)))
+    def place(value: Column, edges: list[float], below: int = 0) -> Column:
+        """By halves; a NULL is above no cut, a NaN above all."""
+        if not edges:
+            return F.lit(below)
+        middle = len(edges) // 2
+        above = place(value, edges[middle + 1 :], below + middle + 1)
+        return F.when(value > F.lit(edges[middle]), above).otherwise(place(value, edges[:middle], below))
 
-    return F.array(*[place(f) for f in features])
+    return F.array(*[place(named(f).cast("double"), cuts[f]) for f in features])
 
 
 def _score(weights: Sequence[float], counts: Sequence[Column]) -> tuple[Column, Column]:
@@ -163,7 +180,7 @@ def grow(
     open_ = written(roots.select("tree", "node", F.array(*[F.col(f"n{c}") for c in range(classes)]).alias("counts")), "forest-level")
     for level in range(depth):
         at = _at_level(drawn, levels)
-        some = attach_written(at, written(open_.select("tree", "node", _tried(len(features), tries, seed).alias("tried")), "forest-tried"), ["tree", "node"])
+        some = _at_nodes(at, written(open_.select("tree", "node", _tried(len(features), tries, seed).alias("tried")), "forest-tried"), depth)
         long = some.select("tree", "node", "class", "times", "bins", F.explode("tried").alias("place"))
         counts = long.groupBy("tree", "node", "place", F.get("bins", F.col("place")).alias("bin")).agg(*counted)
         cut = written(_best_cuts(counts, classes, weights, least), "forest-cut")
@@ -194,10 +211,22 @@ def grow(
     return written(nodes, "forest-nodes")
 
 
+def _at_nodes(at: DataFrame, table: DataFrame, bits: int) -> DataFrame:
+    """The rows with what a written table has for their node, or NULLs; node numbers have at most `bits` bits and one.
+
+    Tree and node make one number where the table is broadcast: it is found several times faster than a struct.
+    """
+    if bits >= NODE_BITS or table_bytes(table) > BROADCAST_BYTES:
+        return attach_written(at, table, ["tree", "node"])
+    number = F.shiftleft(F.col("tree").cast("bigint"), NODE_BITS).bitwiseOR(F.col("node")).alias("_at")
+    values = [c for c in table.columns if c not in ("tree", "node")]
+    return at.withColumn("_at", number).join(F.broadcast(table.select(number, *values)), "_at", "left").drop("_at")
+
+
 def _at_level(drawn: DataFrame, levels: Sequence[DataFrame]) -> DataFrame:
     """The drawn rows at the open node they reach; rows that ended in a leaf are left out."""
-    for cut in levels:
-        drawn = attach_written(drawn, cut, ["tree", "node"]).filter("place IS NOT NULL")
+    for depth, cut in enumerate(levels):
+        drawn = _at_nodes(drawn, cut, depth).filter("place IS NOT NULL")
         right = (F.get("bins", F.col("place")) > F.col("bin")).cast("bigint")
         drawn = drawn.withColumn("node", 2 * F.col("node") + right).drop("place", "bin")
     return drawn
@@ -256,23 +285,24 @@ def walked(nodes: DataFrame, rows: DataFrame, key: str, x: Column) -> DataFrame:
     levels are in one stage where the nodes are small enough to broadcast; the votes of a row's trees
     meet in its task before they are shuffled.
     """
-    shape = nodes.agg(F.max("tree").alias("trees"), F.max("depth").alias("depth"), F.max(F.size("votes")).alias("classes")).first()
+    shape = nodes.agg(F.max("tree").alias("trees"), F.max("depth").alias("depth"), F.max(F.size("votes")).alias("classes"), F.max("node").alias("node")).first()
     if shape["trees"] is None:
         raise ValueError("a forest without nodes")
     every = F.explode(F.sequence(F.lit(0), F.lit(shape["trees"]))).alias("tree")
     at = rows.select(named(key).alias("key"), x.alias("x"), every)
+    bits = shape["node"].bit_length()
     roots = written(nodes.filter("depth = 0").select("tree", "node"), "forest-roots")
     at = attach_written(at, roots, ["tree"]).filter("node IS NOT NULL")
     steps = written(nodes.filter("feature IS NOT NULL").select("tree", "node", "depth", "place", "cut", "left", "right"), "forest-steps")
     for level in range(shape["depth"]):
         step = steps.filter(F.col("depth") == level).drop("depth")
-        at = attach_written(at, step, ["tree", "node"])
+        at = _at_nodes(at, step, bits)
         onward = F.when(F.get("x", F.col("place")) <= F.col("cut"), F.col("left")).otherwise(F.col("right"))
         at = at.withColumn("node", F.coalesce(F.when(F.col("place").isNotNull(), onward), "node")).drop("place", "cut", "left", "right")
     whole = F.aggregate("votes", F.lit(0.0), lambda a, b: a + b)
     share = F.transform("votes", lambda v: F.floor(v / whole * SHARE + 0.5))
     leaves = written(nodes.filter("feature IS NULL").select("tree", "node", F.when(whole > 0, share).alias("share")), "forest-leaves")
-    reached = attach_written(at, leaves, ["tree", "node"])
+    reached = _at_nodes(at, leaves, bits)
     sums = [F.coalesce(F.sum(F.get("share", F.lit(c))), F.lit(0)) for c in range(shape["classes"])]
     return reached.groupBy("key").agg(F.array(*sums).alias("votes")).withColumnRenamed("key", key)
 

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +71,32 @@ def test_odd_tables(spark, rows):
     assert forest_table.grow(alike, "sensor_id", trees=2, depth=4).where("feature IS NOT NULL").count() == 0
     with pytest.raises(ValueError):
         forest_table.grow(rows.withColumn(TARGET, F.lit(None).cast("int")), "sensor_id", trees=1)
+
+
+def test_draws_are_those_of_the_digits_and_made_once(spark):
+    """An MD5 inside the comparing lambda was made once per limit."""
+    keys = spark.range(300).select(F.concat(F.lit("k-"), F.col("id").cast("string")).alias("key"))
+    drawn = keys.select("key", forest_table._draws(F.col("key"), 7, 42).alias("draws"))
+    for r in drawn.collect():
+        numbers = [int(hashlib.md5(f"42/{tree}/{r.key}".encode()).hexdigest()[:8], 16) for tree in range(7)]
+        assert r.draws == [sum(limit <= n for limit in forest_table.drawn_limits()) for n in numbers]
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1 and "filter(" not in plan
+
+
+def test_bins_count_the_cuts_below(spark):
+    cuts = {"x": [-1.0, 0.0, 0.5, 2.0, 9.0], "y": []}
+    values = [None, float("nan"), float("-inf"), float("inf"), -1.0, -0.0, 0.4, 0.5, 0.6, 9.0, 9.1]
+    rows = spark.createDataFrame([(v, 1.0) for v in values], "x double, y double")
+    got = [r[0] for r in rows.select(forest_table._bins(cuts, ["x", "y"])).collect()]
+    assert got == [[0 if v is None else 5 if v != v else sum(c < v for c in cuts["x"]), 0] for v in values]
+
+
+def test_nodes_are_found_by_number_or_by_struct(spark):
+    at = spark.range(200).select((F.col("id") % 5).cast("int").alias("tree"), (F.col("id") % 8).alias("node"), "id")
+    table = written(spark.range(20).select((F.col("id") % 4).cast("int").alias("tree"), (F.col("id") % 5).alias("node"), F.col("id").alias("place")).distinct(), "nodes")
+    narrow, wide = (forest_table._at_nodes(at, table, bits) for bits in (3, 40))
+    assert narrow.columns == wide.columns == ["tree", "node", "id", "place"]
+    assert sorted(map(str, narrow.collect())) == sorted(map(str, wide.collect()))
+    plan = narrow._jdf.queryExecution().optimizedPlan().toString()
+    assert "struct" not in plan
