@@ -76,6 +76,17 @@ def test_compare(rows):
     assert out[0].model == "logistic" and 0.8 < out[0].cv_mean <= 1 and out[0].cv_std < 0.1
 
 
+def test_classes_are_fitted_side_by_side_with_equal_models(rows):
+    fit = rows.where("NOT is_test")
+    for kind, params in (("svm", {"maxIter": 3}), ("boosting", {"maxIter": 2, "maxDepth": 2})):
+        estimator = train.pipeline(kind, **params)
+        assert estimator.getStages()[-1].getParallelism() == 4
+        alone = train.pipeline(kind, **params)
+        alone.getStages()[-1].setParallelism(1)
+        both = [[r.prediction for r in e.fit(fit).transform(fit).orderBy("id").collect()] for e in (estimator, alone)]
+        assert both[0] == both[1]
+
+
 def test_standardise(spark):
     frame = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (3.0, 5.0)], "x double, same double")
     out = train.standardise(frame, frame, ["x", "same"]).orderBy("x").collect()
