@@ -187,6 +187,48 @@ def test_similar_groups_lose_no_pair(spark):
     assert sorted(least[r.root] for r in found) == similar_roots(rows)
 
 
+def edited_rows(copies, seed=9):
+    """One text and its edits: a few of one word, half of 9 to 13 (near the text, far from each other), half of 22 (far from all)."""
+    dice = random.Random(seed)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base)]
+    for i in range(copies):
+        own = list(base)
+        for place in dice.sample(range(400), 1 if i < 10 else dice.randint(9, 13) if i % 2 else 22):
+            own[place] = f"e{i}x{place}"
+        texts.append(" ".join(own))
+    dice.shuffle(texts)
+    return [(i, t, "en", None, 1) for i, t in enumerate(texts)]
+
+
+def test_edited_copies_of_one_text_are_not_paired_with_each_other(spark, monkeypatch):
+    sizes, measured = [], golay.measured
+
+    def counted(pairs, *rest):
+        sizes.append(pairs.count())
+        return measured(pairs, *rest)
+
+    monkeypatch.setattr(golay, "measured", counted)
+    rows = edited_rows(200)
+    found = golay.similar_groups(spark.createDataFrame(rows, SCHEMA)).collect()
+    least = {}
+    for r in found:
+        least[r.root] = min(r.doc_id, least.get(r.root, r.doc_id))
+    assert sorted(least[r.root] for r in found) == similar_roots(rows)
+    assert sum(sizes) < 5 * len(rows)
+
+
+def test_hub_links_grow_with_the_fingerprints(spark):
+    dice = np.random.default_rng(3)
+    center = dice.integers(0, 2**62)
+    prints = np.unique([center ^ (1 << int(a)) ^ (1 << int(b)) for a, b in dice.integers(0, 62, (300, 2))])
+    frame = spark.createDataFrame([(0, int(p)) for p in prints], "seed int, fingerprint long")
+    some = {(r.a, r.b) for r in golay.hub_links(frame).collect()}
+    every = {(r.a, r.b) for r in golay.links(frame).collect()}
+    assert some and some <= every and all((a ^ b).bit_count() <= 3 for a, b in some)
+    assert len({b for _, b in some} | {a for a, _ in some}) > 0.9 * len(prints)
+
+
 # Repeated byte strings
 
 
